@@ -13,7 +13,7 @@ BATCH_ROWS = 512
 #: Bytes of text that one call of a kernel sees at most (one text may be longer).
 BLOCK_BYTES = 4 << 20
 
-Kernel = Callable[[list], list]
+Kernel = Callable[..., list]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -35,17 +35,18 @@ def blocks(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
-def map_text(df: DataFrame, column: str, kernel: Kernel, fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
+def map_text(df: DataFrame, column: str, kernel: Kernel, fields: list[T.StructField], drop: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
     """Append ``fields``, which ``kernel`` computes from the UTF-8 bytes of ``column``.
 
-    The kernel gets a list of ``bytes`` or None and returns one list per field.
+    The kernel gets a list of ``bytes`` or None, then a list of values for each
+    column in ``also``, and returns one list per field.
     All other columns pass through untouched, but for those in ``drop``; one with
     the name of a new field is replaced. No shuffle; a text is never cut.
     """
     small_batches(df.sparkSession)
     names = {f.name for f in fields} | set(drop)
     kept = [f for f in df.schema.fields if f.name not in names]
-    need = [f.name for f in kept] + ([column] if column in names else [])
+    need = list(dict.fromkeys([*(f.name for f in kept), column, *also]))
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = [to_arrow_schema(T.StructType([f])).field(0).type for f in fields]
@@ -54,8 +55,8 @@ def map_text(df: DataFrame, column: str, kernel: Kernel, fields: list[T.StructFi
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
             for a, b in blocks([len(t or b"") for t in texts]):
-                made = kernel(texts[a:b])
                 part = batch.slice(a, b - a)
+                made = kernel(texts[a:b], *(part.column(part.schema.get_field_index(n)).to_pylist() for n in also))
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]
                 columns += [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + [f.name for f in fields])

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from calibrant.llm import sentencepiece_codec, token_counts
+from calibrant.llm import decontaminate, line_crf, line_dedup, pii, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, warc
+from calibrant.llm._state import drop_folder, keep
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +22,88 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its lines, learnt from rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = line_crf.train(docs, labels, where=~line_crf.held_out("doc"))
+    scored = line_crf.score(docs, model, drop_text=True)
+    return scored.select("doc_id", line_crf.held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, _table(spark, sf_dir, "benchmark"))
+    items = F.size("hit_items").cast("long")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]).alias("n_hit"),
+        items.alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("hit_items"), ","), 256).alias("items_sha256"),
+        (items >= 2).alias("contaminated"),
+    )
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the boilerplate lines that other documents keep."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove(docs).select("doc_id", "text")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.cluster(docs)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level token counts of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, model).drop("text")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    folder = warc.archive_folder(spark)
+    records = warc.plan_records(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    manifest = warc.write_archives(records, folder)
+    read = warc.read_archives(spark, folder, manifest, payloads=False).where("problem IS NULL")
+    result = keep(read.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")))
+    drop_folder(spark, folder)
+    return result
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that also begin elsewhere."""
+    return substring_dedup.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality_crf": op2_quality_crf,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_pii": op8_pii,
+    "op9_warc": op9_warc,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -19,8 +19,6 @@ from calibrant.llm._state import keep
 MIN_SITES = 10
 #: Relative standard error of the sketches, and how many of them lie between "near" and "clear".
 ERROR, SPREAD = 0.1, 5.0
-#: Documents that lose lines, up to which the list of their lines is broadcast.
-BROADCAST_DOCS = 50_000
 
 
 def _hash(line: Column) -> Column:
@@ -63,9 +61,7 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "
     rows = _lines(df, doc, text, site)
     lost = rows.join(found, ["a", "b"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
     key = F.coalesce(F.xxhash64("doc"), F.lit(0))
-    lost = keep(lost.select(key.alias("_k"), F.struct("a", "b").alias("h")).distinct().groupBy("_k").agg(F.collect_list("h").alias("_lost")))
-    if lost.count() <= BROADCAST_DOCS:
-        lost = F.broadcast(lost)
+    lost = lost.select(key.alias("_k"), F.struct("a", "b").alias("h")).distinct().groupBy("_k").agg(F.collect_list("h").alias("_lost"))
     value = F.col(f"`{text}`").cast("string")
     joined = df.withColumn("_k", F.coalesce(F.xxhash64(F.col(f"`{doc}`")), F.lit(0))).join(lost, "_k", "left")
     kept = F.array_join(F.filter(F.split(value, "\n"), lambda x: ~F.array_contains(F.col("_lost"), _hash(x))), "\n")

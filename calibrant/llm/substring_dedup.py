@@ -37,8 +37,6 @@ WINDOW, ANCHOR = 35, 12
 FILTER_BITS = 26
 #: Places of a seed from which on it is counted passage by passage; at most this many such seeds are broadcast.
 HEAVY_PLACES, HEAVY_SEEDS = 2000, 1_000_000
-#: Texts with repeats up to which their spans are broadcast rather than joined.
-BROADCAST_TEXTS = 20_000
 
 _U = np.uint64
 
@@ -199,9 +197,7 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW, anchor: int
 
 def _with_repeats(df: DataFrame, text: str, **options: int) -> DataFrame:
     """``df`` with column _spans, by the content of ``text``."""
-    found = keep(repeats(df, text, **options))
-    if found.count() <= BROADCAST_TEXTS:
-        found = F.broadcast(found)
+    found = repeats(df, text, **options)
     value = F.col(f"`{text}`").cast("string")
     marked = df.select("*", F.xxhash64(value).alias("_h1"), F.xxhash64(F.lit(1), value).alias("_h2"))
     found = found.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("spans").alias("_spans"))

@@ -14,7 +14,8 @@ passages share a seed at one offset, and every passage belongs to one seed.
 Work is linear in the words: no pairs are made, however many copies there are.
 Texts are told by a 128-bit hash of their content, so copies share their
 repeats. Seeds with more than a bounded number of places are counted passage by
-passage (pre-aggregated, skewed joins split) rather than gathered in one task.
+passage: what a block of texts repeats by itself is settled there, the rest is
+pre-aggregated and joined (skewed joins split) rather than gathered in one task.
 """
 
 from __future__ import annotations
@@ -39,6 +40,19 @@ FILTER_BITS = 26
 HEAVY_PLACES, HEAVY_SEEDS = 2000, 1_000_000
 
 _U = np.uint64
+#: Kinds of rows that tasks hand on: a seed with its passages; of heavy seeds a passage
+#: met once in its block, one met more often there, and a span known to repeat.
+LIGHT, ASKED, TOLD, SPAN = range(4)
+
+
+def _runs(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of neighbouring places in one row."""
+    if not len(row):
+        none = np.empty(0, np.int64)
+        return none, none
+    fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)])
+    begins = np.flatnonzero(fresh)
+    return begins, np.concatenate([begins[1:], [len(row)]]) - 1
 
 
 def seeds(text: bytes, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,14 +150,44 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW, anchor: int
                     for column, values in zip(out, (own[first].view(np.int64), np.full(k, h1[i]), np.full(k, h2[i]), first, last - first, hashes[take].view(np.int64)), strict=True):
                         column.append(values)
                 if out[0]:
-                    seed, k1, k2, first, count, flat = map(np.concatenate, out)
-                    spots = np.searchsorted(hot, seed)
-                    is_hot = np.zeros(len(seed), bool) if not len(hot) else hot[np.minimum(spots, len(hot) - 1)] == seed
-                    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(k1), pa.array(k2), pa.array(first.astype(np.int32)), lists, pa.array(is_hot)], ["seed", "h1", "h2", "first", "passages", "hot"])
-
-    placed = keep(keyed.mapInArrow(passages, "seed long, h1 long, h2 long, first int, passages array<long>, hot boolean"))
+                    yield from dealt(hot, *map(np.concatenate, out))
+
+    kinds = pa.schema([("kind", pa.int8()), ("seed", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("passages", pa.list_(pa.int64()))])
+
+    def dealt(hot: np.ndarray, seed: np.ndarray, k1: np.ndarray, k2: np.ndarray, first: np.ndarray, count: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of a block: seeds to be gathered, and what is left to ask about heavy ones."""
+
+        def rows(kind: int, at: np.ndarray, begin: np.ndarray, end: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            columns = [np.full(len(at), kind, np.int8), seed[at], k1[at], k2[at], begin.astype(np.int32), end.astype(np.int32)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], schema=kinds)
+
+        spots = np.searchsorted(hot, seed)
+        is_hot = np.zeros(len(seed), bool) if not len(hot) else hot[np.minimum(spots, len(hot) - 1)] == seed
+        light = np.flatnonzero(~is_hot)
+        if len(light):
+            yield rows(LIGHT, light, first[light], first[light], count[light], flat[np.repeat(~is_hot, count)])
+        if not is_hot.any():
+            return
+        # a heavy seed's passage that the block itself repeats needs no answer; the block tells others of it once
+        mine = np.repeat(is_hot, count)
+        row = np.repeat(np.arange(len(seed)), count)[mine]
+        place = (np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(flat)))[mine]
+        value = flat[mine]
+        key = _bytes.mix(value.view(np.uint64) ^ (seed[row].view(np.uint64) * _U(0x9E3779B97F4A7C15)))
+        _, lead, group, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        again = times[group] > 1
+        told = lead[times > 1]
+        one = np.ones
+        if len(told):
+            yield rows(TOLD, row[told], place[told], place[told], one(len(told), np.int64), value[told])
+            begins, ends = _runs(row[again], place[again])
+            yield rows(SPAN, row[again][begins], place[again][begins], place[again][ends] + window, np.zeros(len(begins), np.int64), value[:0])
+        if not again.all():
+            yield rows(ASKED, row[~again], place[~again], place[~again], one(int((~again).sum()), np.int64), value[~again])
+
+    placed = keep(keyed.mapInArrow(passages, "kind byte, seed long, h1 long, h2 long, first int, last int, passages array<long>"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Passages that occur twice at their seed; the rows come sorted by seed."""
@@ -176,21 +220,21 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW, anchor: int
         twice[order[:-1][same]] = True
         place = np.repeat(table.column("first").to_numpy().astype(np.int64) - (np.cumsum(count) - count), count) + np.arange(len(flat))
         row, place = row[twice], place[twice]
-        # neighbours at one seed make one span
-        fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]) if len(row) else np.empty(0, bool)
-        begins = np.flatnonzero(fresh)
-        ends = np.concatenate([begins[1:], [len(row)]]).astype(np.int64) - 1 if len(row) else begins
+        begins, ends = _runs(row, place)
         at = row[begins]
         return pa.RecordBatch.from_arrays([pa.array(table.column("h1").to_numpy()[at]), pa.array(table.column("h2").to_numpy()[at]), pa.array(place[begins].astype(np.int32)), pa.array((place[ends] + window).astype(np.int32))], ["h1", "h2", "begin", "end"])
 
     schema = "h1 long, h2 long, begin int, end int"
-    light = placed.where("not hot").select("seed", "h1", "h2", "first", "passages").repartition("seed").sortWithinPartitions("seed").mapInArrow(meet, schema)
+    light = placed.where(F.col("kind") == LIGHT).select("seed", "h1", "h2", "first", "passages").repartition("seed").sortWithinPartitions("seed").mapInArrow(meet, schema)
     spans = light
     if len(heavy):
-        each = placed.where("hot").select("seed", "h1", "h2", "first", F.posexplode("passages").alias("k", "passage"))
-        again = each.groupBy("seed", "passage").agg(F.count("*").alias("n")).where("n > 1").select("seed", "passage")
-        place = (F.col("first") + F.col("k")).cast("int")
-        spans = light.unionByName(each.join(again, ["seed", "passage"]).select("h1", "h2", place.alias("begin"), (place + window).alias("end")))
+        known = placed.where(F.col("kind") == SPAN).select("h1", "h2", F.col("first").alias("begin"), F.col("last").alias("end"))
+        passage = F.col("passages")[0].alias("passage")
+        asked = placed.where(F.col("kind") == ASKED).select("seed", passage, "h1", "h2", "first")
+        told = placed.where(F.col("kind").isin(ASKED, TOLD)).groupBy("seed", passage).agg(F.sum(F.when(F.col("kind") == TOLD, 2).otherwise(1)).alias("n"))
+        again = told.where("n > 1").select("seed", "passage")
+        answered = asked.join(again, ["seed", "passage"]).select("h1", "h2", F.col("first").alias("begin"), (F.col("first") + window).alias("end"))
+        spans = light.unionByName(known).unionByName(answered)
     gathered = spans.distinct().groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     return gathered
 

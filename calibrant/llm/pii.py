@@ -36,12 +36,13 @@ SHAPES = {
     "phone": r"(?<![0-9.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[.-][0-9]{3,4}[.-][0-9]{3,4}(?![0-9.-])|(?<![0-9])00[0-9]{9,13}(?![0-9])",
 }
 SHAPE_NEEDS = {"email": r"@|(?i)[\[(]at[\])]", "ip": r":[0-9a-fA-F]{0,4}:|\[\.\]", "card": r"[0-9x*]{4}-[0-9x*]{4}-|[0-9]{13}", "phone": r"[0-9]{3,4}[.-][0-9]{3,4}|00[0-9]{9}"}
-#: Rounds of scoring; a pattern's confidence and number of trusted occurrences from which on it discovers.
+#: Rounds of scoring; a pattern's confidence and number of trusted entities from which on it discovers.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.5, 5
 #: Characters beside an entity within which the word there must end.
 CONTEXT = 64
-#: Pattern words, and texts with discoveries, up to which they are broadcast.
-BROADCAST_WORDS, BROADCAST_TEXTS = 100_000, 50_000
+#: Pattern words up to which a list of them filters the corpus' words before these are
+#: counted (else all are), and texts with discoveries up to which they are broadcast.
+LISTED_WORDS, BROADCAST_TEXTS = 5_000, 50_000
 
 
 def luhn(digits: Column) -> Column:
@@ -134,13 +135,14 @@ def discover(df: DataFrame, scanned: DataFrame, text: str = "text", rounds: int
     A pattern is a kind and the word before or after; its confidence the trusted
     share of all words of the corpus that stand there. A candidate (kind and
     token, wherever it stands) is trusted as far as its best pattern with enough
-    trusted occurrences. Seeds are trusted throughout.
+    trusted entities. Seeds are trusted throughout.
     """
     spots = scanned.select("h1", "h2", F.explode("seen").alias("s")).select("h1", "h2", "s.*")
     sides = F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word")))
     edges = spots.select("kind", "token", "seed", F.explode(sides).alias("p")).where("p.word IS NOT NULL")
     edges = edges.groupBy("kind", "token", "seed", "p.side", "p.word").agg(F.count("*").alias("n"))
-    seeded = edges.where("seed").groupBy("kind", "side", "word").agg(F.sum("n").alias("trusted")).where(F.col("trusted") >= support)
+    # support counts distinct entities: copies of one text must not make a pattern
+    seeded = edges.where("seed").groupBy("kind", "side", "word").agg(F.sum("n").alias("trusted"), F.count("*").alias("entities")).where(F.col("entities") >= support).drop("entities")
     # only patterns that have seeds enough and candidates at all can discover
     useful = keep(seeded.join(edges.where("NOT seed").select("kind", "side", "word").distinct(), ["kind", "side", "word"], "left_semi"))
     frequency = _word_counts(df, text, useful.select("word").distinct())
@@ -162,9 +164,9 @@ def _word_counts(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
     if not few:
         return words.withColumn("count", F.lit(0).cast("long"))
     each = df.select(F.explode(F.split(F.lower(F.col(f"`{text}`").cast("string")), r"\s+")).alias("word"))
-    if few > BROADCAST_WORDS:
-        return each.groupBy("word").agg(F.count("*").alias("count")).join(words, "word", "left_semi")
-    return each.join(F.broadcast(words), "word", "left_semi").groupBy("word").agg(F.count("*").alias("count"))
+    if few <= LISTED_WORDS:
+        each = each.where(F.col("word").isin([r[0] for r in words.collect()]))
+    return each.groupBy("word").agg(F.count("*").alias("count")).join(words, "word", "left_semi")
 
 
 def _listed(kind: str, spans: Column) -> Column:

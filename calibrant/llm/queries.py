@@ -106,4 +106,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWERED = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_LOWERED} AS w FROM documents), b AS (SELECT item_id, {_LOWERED} AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+               FROM (SELECT item_id, w, least(8, len(w)) AS k FROM b WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g, unnest(range(1, len(w) - k + 2)) AS i
+               FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k),
+        h AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, g)),
+        c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY 1),
+        t AS (SELECT doc_id, count(*) AS n_items, sha256(array_to_string(list_sort(list(CAST(item_id AS VARCHAR))), ',')) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op4_line_dedup": """
+        WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
+        x AS (SELECT line, min(doc_id) AS keeper FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+        n AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+        k AS (SELECT doc_id, string_agg(n.line, chr(10) ORDER BY i) AS text FROM n LEFT JOIN x ON n.line = x.line WHERE x.line IS NULL OR n.doc_id = x.keeper GROUP BY 1)
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text FROM documents d LEFT JOIN k USING (doc_id)""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html FROM pages),
+        f AS (SELECT html, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NOT NULL AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+        FROM p LEFT JOIN f USING (html)""",
+    "op10_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        x AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, unnest(list_transform(range(1, len(w) - 33), lambda i: sha256(array_to_string(w[i:i + 34], ' ')))) AS h FROM d WHERE len(w) >= 35),
+        r AS (SELECT h FROM x GROUP BY 1 HAVING count(*) > 1),
+        c AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM x JOIN r USING (h)) GROUP BY 1),
+        e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+        g AS (SELECT doc_id, unnest(gone) AS j FROM c),
+        k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.j) AS kept FROM e ANTI JOIN g ON e.doc_id = g.doc_id AND e.j = g.j GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)""",
+}

@@ -17,8 +17,10 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as spec
 
 from calibrant.llm._arrow import field, map_text
@@ -133,8 +135,6 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """Append the text that the ids of each row decode to; null ids give null."""
-    import pandas as pd
-    from pyspark.sql import functions as F
 
     def run(column: pd.Series) -> pd.Series:
         return column.map(lambda x: None if x is None else codec(model_path).decode([int(i) for i in x]))

@@ -37,8 +37,10 @@ def bigram_model(stream: DataFrame, alpha: float = ALPHA) -> tuple[DataFrame, Da
     totals = pairs.groupBy("prev").agg(F.sum("n").alias("total"), F.count("*").alias("seen"))
     contexts = totals.crossJoin(F.broadcast(vocabulary))
     p = (F.col("n") + alpha) / (F.col("total") + alpha * F.col("v"))
-    rank = F.rank().over(Window.partitionBy("prev").orderBy(F.col("n").desc()))
-    joined = pairs.join(contexts, "prev").withColumns({"p": p, "rank": rank})
+    # a context has few distinct counts, however many tokens follow it
+    higher = Window.partitionBy("prev").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = pairs.groupBy("prev", "n").agg(F.count("*").alias("tied")).select("prev", "n", (1 + F.coalesce(F.sum("tied").over(higher), F.lit(0))).alias("rank"))
+    joined = pairs.join(ranks, ["prev", "n"]).join(contexts, "prev").withColumn("p", p)
     unseen = F.lit(alpha) / (F.col("total") + alpha * F.col("v"))
     mass = F.greatest(F.col("v") - F.col("seen"), F.lit(0))
     moments = joined.groupBy("prev", "total", "seen", "v").agg(F.sum(F.col("p") * F.log("p")).alias("m1"), F.sum(F.col("p") * F.log("p") * F.log("p")).alias("m2"))

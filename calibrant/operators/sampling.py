@@ -96,9 +96,9 @@ def quota_draw(pool: DataFrame, wanted: DataFrame, target: int, row: str, key: s
 def grouped_folds(df: DataFrame, label: str, group: str, row: str, folds: int = 5, seed: int = 7) -> DataFrame:
     """Append ``fold``: whole groups to one fold; rows without a group are groups of their own (SMP-09).
 
-    Groups are taken in the order of their size and a hash and dealt out round and
-    round within their majority class, which keeps class shares near without
-    gathering the groups.
+    The fold is a hash of the group, its majority class and the magnitude of its
+    size: groups of like class and size are spread evenly over the folds, which
+    keeps class shares near without gathering or ordering the groups.
     """
     name = F.when(F.coalesce(F.col(group).cast("string"), F.lit("")) == "", F.concat(F.lit("row:"), F.col(row))).otherwise(F.concat(F.lit("repo:"), F.col(group)))
     marked = df.withColumn("_group", name)

@@ -43,11 +43,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide
 
 
-def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lines`` counted by score: the statistics need no more."""
-    return lines(spark, sf_dir)
-
-
 #: The same views for DuckDB.
 SQL_DOCUMENTS = """c_doc AS (
   SELECT d.doc_id AS row_id, CAST(d.doc_id AS VARCHAR) AS source_id, d.text, d.n_chars, d.lang AS genre, d.source AS agent, d.source AS repo,

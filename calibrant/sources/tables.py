@@ -71,6 +71,28 @@ def env_settings(text: str, environment: dict[str, str]) -> dict[str, str]:
     return found | {k: environment[k] for k in found if k in environment}
 
 
+def known_tables(spark: SparkSession, folder: str, wanted: list[str], known: list[str]) -> dict[str, int]:
+    """Row counts of the wanted tables; names outside the catalogue are an error before anything is read (SRC-13, SET-04)."""
+    if unknown := sorted(set(wanted) - set(known)):
+        raise ValueError(f"unknown tables: {', '.join(unknown)}; there are {', '.join(sorted(known))}")
+    return {name: table(spark, folder, name).count() for name in wanted}
+
+
+def token(environment: dict[str, str], names: list[str], file: Path | None = None) -> str | None:
+    """The first of the named settings that is set, else the file's first line (SRC-17)."""
+    for name in names:
+        if environment.get(name):
+            return environment[name].strip()
+    if file and file.exists():
+        return (file.read_text(encoding="utf-8").splitlines() or [""])[0].strip() or None
+    return None
+
+
+def answer(spark: SparkSession, path: str) -> DataFrame:
+    """A stored JSON answer of an endpoint as one row (SRC-15)."""
+    return spark.read.option("multiLine", "true").json(path)
+
+
 def triples(lines: DataFrame, column: str = "value") -> DataFrame:
     """(s, p, o, o_type) of N-Triples lines (SRC-18)."""
     pattern = r'^<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>)?)\s*\.\s*$'

@@ -19,6 +19,8 @@ from calibrant.llm._state import keep
 MIN_SITES = 10
 #: Relative standard error of the sketches, and how many of them lie between "near" and "clear".
 ERROR, SPREAD = 0.1, 5.0
+#: Lines up to which a table of line hashes is broadcast (some 40 MB); a larger one is joined by shuffling.
+BROADCAST_LINES = 500_000
 
 
 def _hash(line: Column) -> Column:
@@ -34,6 +36,11 @@ def _lines(df: DataFrame, doc: str, text: str, site: str) -> DataFrame:
     return rows.select("doc", "site", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
+def _sized(lines: DataFrame) -> DataFrame:
+    """A checkpointed table of line hashes, broadcast if its counted size allows."""
+    return F.broadcast(lines) if lines.count() <= BROADCAST_LINES else lines
+
+
 def boilerplate(df: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """(a, b, keeper): hashes of the lines on ``min_sites`` sites or more, and the lowest id that has each.
 
@@ -44,8 +51,10 @@ def boilerplate(df: DataFrame, doc: str = "doc_id", text: str = "text", site: st
     sketched = rows.groupBy("a", "b").agg(F.approx_count_distinct("site", ERROR).alias("sites"), F.min("doc").alias("keeper"))
     candidates = keep(sketched.where(F.col("sites") >= min_sites * (1 - band)))
     clear = F.col("sites") > min_sites * (1 + band)
-    near = candidates.where(~clear).select("a", "b", "keeper")
-    exact = rows.where(F.col("site").isNotNull()).join(near, ["a", "b"]).groupBy("a", "b", "keeper", "site").agg(F.lit(1)).groupBy("a", "b", "keeper").agg(F.count("*").alias("sites"))
+    near = _sized(candidates.where(~clear).select("a", "b", "keeper"))
+    # a task hands on each site of a line once, before and after the shuffle
+    each = rows.where(F.col("site").isNotNull()).join(near, ["a", "b"]).select("a", "b", "keeper", "site").distinct()
+    exact = each.groupBy("a", "b", "keeper").agg(F.count("*").alias("sites"))
     return candidates.where(clear).select("a", "b", "keeper").unionByName(exact.where(F.col("sites") >= min_sites).select("a", "b", "keeper"))
 
 
@@ -59,7 +68,7 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "
     found = keep(boilerplate(df, doc, text, site, min_sites))
     # the lowest id keeps the line; a null keeper (all ids null) is kept by all of them
     rows = _lines(df, doc, text, site)
-    lost = rows.join(found, ["a", "b"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
+    lost = rows.join(_sized(found), ["a", "b"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
     key = F.coalesce(F.xxhash64("doc"), F.lit(0))
     lost = lost.select(key.alias("_k"), F.struct("a", "b").alias("h")).distinct().groupBy("_k").agg(F.collect_list("h").alias("_lost"))
     value = F.col(f"`{text}`").cast("string")

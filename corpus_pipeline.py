@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from calibrant.llm import decontaminate, line_dedup, quality_rules, sentencepiece_codec, simhash
-from calibrant.llm._state import new_folder
+from calibrant.llm._state import drop_folder, new_folder
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,4 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}")  # nothing reads it any more
     return docs

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions import text as X
+from calibrant.shipping import ship
 
 #: Separators of fields and records, and the subject of a merge.
 FIELD, RECORD = "\x1f", "\x1e"
@@ -132,4 +133,5 @@ def collect(repos: DataFrame, get: Callable[[str, int], tuple[int, Any, dict]],
                 rows = [json.dumps(x) for x in paged(get, repo, cutoff, limit)]
                 yield pd.DataFrame({"repo": [repo] * len(rows), "item": rows})
 
+    ship(repos.sparkSession)
     return repos.select(column).distinct().mapInPandas(run, "repo string, item string")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from calibrant.shipping import ship
+
 #: Rows per Arrow batch; long documents make larger batches needlessly heavy.
 BATCH_ROWS = 512
 #: Bytes of text that one call of a kernel sees at most (one text may be longer).
@@ -17,7 +19,8 @@ Kernel = Callable[..., list]
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for texts of any length."""
+    """Keep Arrow batches small enough for texts of any length, and see that workers have the kernels."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

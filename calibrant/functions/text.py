@@ -116,7 +116,7 @@ def language(ext: Column) -> Column:
 def first_score(x: Column) -> Column:
     """The first number of one to three digits, at most 100, over 100; null without one (STR-19)."""
     digits = F.nullif(F.regexp_extract(x, r"(?U)\d{1,3}", 0), F.lit(""))
-    return F.least(F.lit(100), digits.cast("int")) / 100.0
+    return F.when(digits.isNotNull(), F.least(F.lit(100), digits.cast("int")) / 100.0)
 
 
 def generic_path(x: Column) -> Column:

@@ -91,7 +91,7 @@ def test_rules(spark):
     text = "fix: improve error handling in WebSockets"
     assert one(spark, text, lambda c: F.round(rules.heuristics(c), 3)) == 0.077
     assert one(spark, text, rules.self_admission) == 0.0
-    cases = {"assistant_voice": "as an AI", "offer_of_help": "Hope this helps", "certainly": "Certainly! ok", "here_is": "Here's the thing", "summary_offer": "Overall, it", "emoji": "x 🚀", "bold_headers": "a\n**Head**:\nb", "markdown_heading": "a\n## b", "bullet_block": "- a\n- b\n- c\n", "checkbox_list": " - [x] a", "bold_label_line": "- **a** – b", "conventional_commit": "feat(x)!: y", "triadic_list": "é1, b, AND c"}
+    cases = {"assistant_voice": "as an AI", "offer_of_help": "Hope this helps", "certainly": "Certainly! ok", "here_is": "Here's the thing", "summary_offer": "To summarize, it", "emoji": "x 🚀", "bold_headers": "a\n**Head**:\nb", "markdown_heading": "a\n## b", "bullet_block": "- a\n- b\n- c\n", "checkbox_list": " - [x] a", "bold_label_line": "- **a** – b", "conventional_commit": "feat(x)!: y", "triadic_list": "é1, b, AND c"}
     for name, sample in cases.items():
         found = one(spark, sample, rules.explain).asDict()
         assert found[name], name

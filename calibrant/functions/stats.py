@@ -41,6 +41,7 @@ def auroc(counts: DataFrame, keys: list[str], p: str = "p", n: str = "n", name:
 
 def operating_point(counts: DataFrame, keys: list[str], target: float = TARGET_FPR) -> DataFrame:
     """(keys, threshold, fpr, recall): the lowest score whose inclusive false positive rate is within the target, else the top one (STA-04)."""
+    counts = counts.where("p > 0 OR n > 0")  # only the two sides' own scores are thresholds
     totals = counts.groupBy(*keys).agg(F.sum("p").alias("np"), F.sum("n").alias("nn")).where("np > 0 AND nn > 0")
     rows = prefix_sums(counts, keys, "score", ["p", "n"], descending=True).join(F.broadcast(totals), keys)  # totals: a row per cell
     fpr = (F.col("n_before") + F.col("n")) / F.col("nn")

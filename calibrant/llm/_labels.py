@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calibrant.llm._state import keep
+
 #: Documents of each class at most, and bytes of their texts in all.
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 8_000_000
 
@@ -27,7 +29,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, doc: str = "doc_id",
     spark = docs.sparkSession
     own = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
     chosen = F.broadcast(spark.createDataFrame(ids, rows.schema))  # 2 * per_class rows at most
-    joined = own.join(chosen, "doc")
+    joined = keep(own.join(chosen, "doc"))  # the one pass over the texts
     # the sizes of a bounded number of texts decide how many of them fit
     sizes = sorted((r["order"], r["n"], r["doc"]) for r in joined.select(order.alias("order"), F.octet_length("text").alias("n"), "doc").collect())
     fit, total = [], 0

@@ -1,10 +1,11 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 A fingerprint has a bit set if over half of the text's shingle hashes have it.
-Candidates share a key: some bits of the fingerprint. Keys come either from
-blocks (``exact``: whatever differs in few bits leaves enough blocks equal, so
-no link is lost) or from sampled bits (``sampled``: for wide radii, with a
-stated chance of a miss). Distinct fingerprints, not documents, are compared.
+Candidates share a key. Keys come either from
+blocks (exact: whatever differs in few bits leaves enough blocks equal, so
+no link is lost) or, for wide radii, from bands of least shingle hashes (with a
+stated chance of a miss; an exact check of the similarity follows). Distinct
+fingerprints or shingle sets, not documents, are compared.
 
 Fingerprints of a key stand in bit planes: word j of plane b holds bit b of 64
 neighbours. Row i is compared with row i + d for all i at once: the planes are
@@ -88,16 +89,6 @@ def block_masks(radius: int, spare: int = 2) -> list[int]:
     return [sum(block[i] for i in kept) for kept in combinations(range(n), spare)]
 
 
-def sampled_masks(bits: int, size: int, count: int) -> list[list[int]]:
-    """``count`` masks of ``size`` bits out of ``bits``, as 64-bit lanes."""
-    draw = np.random.RandomState(7)
-    masks = []
-    for _ in range(count):
-        chosen = draw.choice(bits, size, replace=False)
-        masks.append([int(sum(1 << int(b - 64 * k) for b in chosen if b // 64 == k)) for k in range(bits // 64)])
-    return masks
-
-
 def bit_planes(lanes: list[np.ndarray]) -> np.ndarray:
     """planes[b, j]: bit b of rows 64 j to 64 j + 63 (rows beyond the last are zero)."""
     n = len(lanes[0])
@@ -255,11 +246,28 @@ def linked(group: np.ndarray, lanes: list[np.ndarray], radius: int, side: np.nda
     return parent
 
 
-def links(prints: DataFrame, masks: list[list[int]], radius: int, part: int = PART) -> DataFrame:
+def dealt(keyed: DataFrame, part: int) -> DataFrame:
+    """``keyed`` (key, node, ..) with ``pair`` and ``side``: rows of a key with more than ``part`` rows once for each pair of its parts."""
+    # at most rows / part keys are large
+    large = keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part).select("key", F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    n_large = large.count()
+    if not n_large:
+        return keyed.select("*", F.lit(0).alias("pair"), F.lit(None).cast("int").alias("side"))
+    parts = F.coalesce("parts", F.lit(1))
+    placed = keyed.join(F.broadcast(large) if n_large <= BROADCAST_KEYS else large, "key", "left").withColumn("parts", parts)
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    copies = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(F.col("mine") != F.col("other"), (F.col("mine") > F.col("other")).cast("int"))
+    return copies.select(*keyed.columns, (low * F.col("parts") + high).cast("int").alias("pair"), side.alias("side"))
+
+
+def links(prints: DataFrame, masks: list[list[int]] | None, radius: int, part: int = PART) -> DataFrame:
     """Links (a, b) between rows of ``prints`` (node, fp0..) that share a key and differ in ``radius`` bits at most.
 
     Not all such pairs, but a spanning forest of those in each key (and pair of
     parts of a key with more than ``part`` rows): the components are the same.
+    Without ``masks``, keys are those in the column ``keys``.
     """
     small_batches(prints.sparkSession)
     lanes = [c for c in prints.columns if c.startswith("fp")]
@@ -268,20 +276,9 @@ def links(prints: DataFrame, masks: list[list[int]], radius: int, part: int = PA
         signed = [m - (1 << 64) if m >> 63 else m for m in mask]
         return F.xxhash64(F.lit(k), *[F.col(c).bitwiseAND(F.lit(m).cast("long")) for c, m in zip(lanes, signed, strict=True)])
 
-    keyed = prints.select("node", *lanes, F.explode(F.array(*[key(m, k) for k, m in enumerate(masks)])).alias("key"))
-    # at most len(masks) * rows / part keys are large
-    large = keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part).select("key", F.ceil(F.col("n") / part).cast("int").alias("parts")))
-    n_large = large.count()
-    if n_large:
-        parts = F.coalesce("parts", F.lit(1))
-        placed = keyed.join(F.broadcast(large) if n_large <= BROADCAST_KEYS else large, "key", "left").withColumn("parts", parts)
-        placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        low, high = F.least("mine", "other"), F.greatest("mine", "other")
-        side = F.when(F.col("mine") != F.col("other"), (F.col("mine") > F.col("other")).cast("int"))
-        everything = dealt.select("key", (low * F.col("parts") + high).cast("int").alias("pair"), side.alias("side"), "node", *lanes)
-    else:
-        everything = keyed.select("key", F.lit(0).alias("pair"), F.lit(None).cast("int").alias("side"), "node", *lanes)
+    keys = F.col("keys") if masks is None else F.array(*[key(m, k) for k, m in enumerate(masks)])
+    keyed = prints.select("node", *lanes, F.explode(keys).alias("key"))
+    everything = dealt(keyed, part)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -344,25 +341,142 @@ def cluster(df: DataFrame, doc: str = "doc_id", text: str = "text", words: int =
     return prints.join(labels, "fp0").select(F.col("doc").alias(doc), F.col("fp0").alias("fingerprint"), "component_id")
 
 
-#: The wide form: bits of the fingerprint, and keys: 40 samples of 16 bits.
-WIDE_LANES, KEY_BITS, KEYS = 2, 16, 40
-#: Standard deviations of the distance that the radius lies above its mean: texts of the
-#: very similarity asked for are further apart one time in four.
-MARGIN = 0.7
+#: The wide form: 64-bit lanes of the fingerprint, and keys: 24 bands of 5 least hashes each.
+WIDE_LANES, BAND, BANDS = 4, 5, 24
+#: Standard deviations of the distance that the radius lies above its mean. The exact check
+#: follows, so it is wide enough for texts of few shingles, whose fingerprints differ in more bits.
+MARGIN = 5.0
+#: Texts of one candidate group that are compared in one task; a larger group is dealt out by pairs of its parts.
+TEXTS = 512
+_odd = np.random.RandomState(11)
+_FACTORS = _odd.randint(0, 2**63, BAND * BANDS, dtype=np.uint64) * _U(2) + _U(1)
 
 
 def wide_radius(similarity: float, lanes: int = WIDE_LANES) -> int:
-    """Bits in which fingerprints of texts of that Jaccard similarity differ at most, three times in four."""
+    """Bits in which fingerprints of texts of that Jaccard similarity differ at most, but for one pair in a million."""
     p, n = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * lanes
     return int(n * p + MARGIN * np.sqrt(n * p * (1 - p)))
 
 
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Distinct shingle hashes in rising order."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key per band of least hashes; two sets of similarity s share one with a chance of 1 - (1 - s ** BAND) ** BANDS."""
+    from calibrant.llm._bytes import mix
+
+    if not len(hashes):
+        return np.zeros(BANDS, np.uint64)
+    least = np.full(len(_FACTORS), _ALL)
+    for a in range(0, len(hashes), 4096):
+        least = np.minimum(least, mix(hashes[None, a : a + 4096] * _FACTORS[:, None]).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        keys = mix(keys * _FACTORS[0] + column)
+    return keys
+
+
+def wide_prints(df: DataFrame, text: str, words: int) -> DataFrame:
+    """Replace the text by node (a digest of its shingle set), fp0.. and the keys."""
+
+    def kernel(texts: list) -> list:
+        from calibrant.llm._bytes import mix
+
+        node: list[int] = []
+        prints: list[list[int]] = [[] for _ in range(WIDE_LANES)]
+        keys: list[list[int]] = []
+        for t in texts:
+            own = shingle_set(t, words)
+            digest = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+            node.append(digest - (1 << 64) if digest >> 63 else digest)
+            for k in range(WIDE_LANES):
+                value = fingerprint(own if k == 0 else mix(own + _U(k)))
+                prints[k].append(value - (1 << 64) if value >> 63 else value)
+            keys.append(band_keys(own).view(np.int64).tolist())
+        return [node, *prints, keys]
+
+    fields = [field("node", "long"), *[field(f"fp{k}", "long") for k in range(WIDE_LANES)], field("keys", "array<bigint>")]
+    return map_text(df, text, kernel, fields, drop=(text,))
+
+
+def similar(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set the lowest that it reaches by links of ``similarity`` or more; with ``side``, links across sides only."""
+    n = len(sets)
+    parent = np.arange(n)
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(parent, size)
+    _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    m = shared[shingle]
+    owner, column = owner[m], place[shingle[m]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((n, n), np.float32)  # exact: counts stay far below 2 ** 24
+    width = int(shared.sum())
+    step = max(256, (4 << 20) // n)
+    for a in range(0, width, step):
+        i, j = np.searchsorted(column, [a, a + step])
+        has = np.zeros((n, min(step, width - a)), np.float32)
+        has[owner[i:j], column[i:j] - a] = 1
+        common += has @ has.T
+    either = size[:, None] + size - common
+    near = common >= similarity * either - 1e-6
+    if side is not None:
+        near &= side[:, None] != side
+    return forest(n, *np.nonzero(np.triu(near, 1)), parent)
+
+
+def verified(members: DataFrame, words: int, similarity: float, part: int = TEXTS) -> DataFrame:
+    """Links (a, b) between nodes of one key of ``members`` (key, node, text) whose shingle sets have that Jaccard similarity.
+
+    All pairs of a key are compared; of the links, a spanning forest per task is handed on.
+    """
+    small_batches(members.sparkSession)
+    names = ["key", "pair", "side", "node", "text"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        nodes: list[int] = []
+        sides: list[int | None] = []
+        sets: list[np.ndarray] = []
+
+        def found() -> pa.RecordBatch:
+            side = None if sides[0] is None else np.array(sides)
+            lead = similar(sets, similarity, side) if len(sets) > 1 else np.arange(len(sets))
+            m = lead != np.arange(len(lead))
+            node = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(node[m]), pa.array(node[lead[m]])], ["a", "b"])
+
+        for batch in batches:
+            key, pair, side, node = (batch.column(k).to_pylist() for k in range(4))
+            texts = batch.column(4).cast(pa.binary())
+            for i, group in enumerate(zip(key, pair, (s is None for s in side), strict=True)):
+                if group != now:
+                    if len(nodes) > 1:
+                        yield found()
+                    now, nodes, sides, sets = group, [], [], []
+                if nodes and nodes[-1] == node[i]:
+                    continue  # a repeated row
+                nodes.append(node[i])
+                sides.append(side[i])
+                sets.append(shingle_set(texts[i].as_py(), words))
+        if len(nodes) > 1:
+            yield found()
+
+    ordered = dealt(members, part).select(*names).repartition("key", "pair").sortWithinPartitions("key", "pair", "side", "node")
+    return ordered.mapInArrow(compare, "a long, b long")
+
+
 def unique(df: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates by shingles of ``words``: that with the lowest id.
 
-    Texts are linked if their 128-bit fingerprints differ by ``wide_radius`` at
-    most. Keys are sampled: a pair at 0.8 shares one with a chance of 0.95, at 0.85
-    of 0.99, at 0.9 of 0.999. Texts without words form one
+    Texts are linked if the Jaccard similarity of their shingle sets is
+    ``similarity`` or more: every pair in a group of candidates is checked.
+    Candidates share a key and have fingerprints within ``wide_radius``; at
+    0.8 a lone pair fails to with a chance of 0.0001. Texts without words form one
     group; of rows with equal id (or null, which counts as highest) and text one
     stays. Columns stay as they are.
     """
@@ -372,9 +486,14 @@ def unique(df: DataFrame, doc: str = "doc_id", text: str = "text", words: int =
     own = F.col(f"`{doc}`")
     # equal id and text make equal rows: k1, k2 tell rows apart
     marked = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], own.alias("doc"), value.alias("text"), F.xxhash64(own, value).alias("k1"), F.xxhash64(F.lit(1), own, value).alias("k2"))
-    prints = keep(fingerprints(marked.select("doc", "k1", "k2", "text"), "text", words, WIDE_LANES).withColumn("node", F.xxhash64("fp0", "fp1")))
-    distinct = keep(prints.groupBy("node").agg(F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")))
-    roots = components(links(distinct, sampled_masks(64 * WIDE_LANES, KEY_BITS, KEYS), radius))
+    wide = keep(wide_prints(marked.select("doc", "k1", "k2", "text"), "text", words))
+    prints = wide.select("doc", "k1", "k2", "node")
+    lanes = [f"fp{k}" for k in range(WIDE_LANES)]
+    distinct = keep(wide.groupBy("node").agg(F.min_by(F.struct(*lanes, "keys", "k1", "k2"), F.struct("k1", "k2")).alias("w")).select("node", "w.*"))
+    candidates = components(links(distinct.select("node", *lanes, "keys"), None, radius))
+    chosen = keep(distinct.select("node", "k1", "k2").join(candidates.withColumnRenamed("root", "key"), "node"))
+    members = marked.select("k1", "k2", "text").join(chosen, ["k1", "k2"]).select("key", "node", "text")
+    roots = components(verified(members, words, similarity))
     named = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "k1", "k2")).alias("w")).select("w.k1", "w.k2")
     kept = marked.drop("doc", "text").join(keep(first), ["k1", "k2"], "left_semi")

@@ -156,6 +156,23 @@ def test_unique(spark):
     assert simhash.unique(df.limit(0)).count() == 0
 
 
+def pairs_apart(draw, count, edits):
+    """Pairs of texts of 200 words that share nothing with other pairs; each edit, far from the others, changes five of 196 shingles."""
+    for i in range(count):
+        a = [f"p{i}x{draw.randrange(10**6)}" for _ in range(200)]
+        b = list(a)
+        for k in draw.sample(range(1, 19), edits):
+            b[10 * k] = f"e{i}x{k}"
+        yield " ".join(a), " ".join(b)
+
+
+def test_unique_finds_isolated_pairs(spark):
+    # 176 of 216 shingles are common: 0.815
+    rows = [(2 * i + k, t) for i, pair in enumerate(pairs_apart(random.Random(6), 150, 4)) for k, t in enumerate(pair)]
+    kept = simhash.unique(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 300, 2))
+
+
 # passages
 
 

@@ -173,6 +173,29 @@ def test_unique_finds_isolated_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 300, 2))
 
 
+def test_unique_keeps_looser_texts(spark):
+    # 171 of 221 shingles are common: 0.774
+    rows = [(2 * i + k, t) for i, pair in enumerate(pairs_apart(random.Random(7), 60, 5)) for k, t in enumerate(pair)]
+    assert simhash.unique(spark.createDataFrame(rows, "doc_id long, text string")).count() == 120
+
+
+@pytest.mark.parametrize("part", [3, 512])
+def test_verified_links(spark, part):
+    draw = random.Random(part)
+    base = [words(draw, 120) for _ in range(3)]
+    texts = [edited(draw, draw.choice(base), draw.randrange(5)) for _ in range(40)] + ["one", "one", "two", ""]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    low = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or len(a & b) >= 0.8 * len(a | b):
+                    low[i] = low[j] = min(low[i], low[j])
+    members = spark.createDataFrame([(7, i, t) for i, t in enumerate(texts)], "key long, node long, text string")
+    roots = {r.node: r.root for r in components.components(simhash.verified(members, 5, 0.8, part)).collect()}
+    assert [roots.get(i, i) for i in range(len(texts))] == low
+
+
 # passages
 
 

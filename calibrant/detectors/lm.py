@@ -75,6 +75,37 @@ def npr(perturbed: Column, base: Column) -> Column:
     return F.when(base > 0, perturbed / F.greatest(base, F.lit(1e-6)))
 
 
+def spaced_pairs(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """(row_id, prev, token, weight): like ``tokens``, but runs of white space are tokens too; the weights of a text add up to one."""
+    pieces = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\s+|\S+"), F.lit(0))
+    before = F.slice(F.concat(F.array(F.lit("")), pieces), F.lit(1), F.size(pieces))
+    each = corpus.select("row_id", F.try_divide(F.lit(1.0), F.size(pieces)).alias("weight"), F.explode(F.arrays_zip(before.alias("prev"), pieces.alias("token"))).alias("t"))
+    return each.select("row_id", "t.prev", "t.token", "weight")
+
+
+def perturbed_npr(corpus: DataFrame, copies: int = 50, text: str = "text") -> DataFrame:
+    """(row_id, score): mean log rank of the perturbed copies over that of the text (DET-07).
+
+    The bigram model is counted from the unperturbed texts, with white space as
+    tokens, as that is all that the perturbations add. Tied tokens have the best of
+    their ranks: an unseen one comes after all seen ones, in an unseen context all are first.
+    """
+    own = spaced_pairs(corpus, text)
+    pairs, _ = bigram_model(own)
+    ranks = pairs.select("prev", "token", "rank")
+    seen = ranks.groupBy("prev").agg(F.count("*").alias("seen"))
+
+    def mean(stream: DataFrame, name: str) -> DataFrame:
+        weights = stream.groupBy("row_id", "prev", "token").agg(F.sum("weight").alias("w"))
+        rank = F.coalesce("rank", F.col("seen") + 1, F.lit(1))
+        joined = weights.join(ranks, ["prev", "token"], "left").join(seen, "prev", "left")
+        return joined.groupBy("row_id").agg(F.sum(F.col("w") * F.log(rank)).alias(name))
+
+    perturbed = mean(spaced_pairs(perturbations(corpus, copies, text=text)), "perturbed")
+    scored = corpus.select("row_id").join(mean(own, "base"), "row_id", "left").join(perturbed, "row_id", "left")
+    return scored.select("row_id", npr(F.col("perturbed") / copies, F.col("base")).alias("score"))
+
+
 def perturbations(corpus: DataFrame, copies: int = 50, share: float = 0.5, spaces: int = 2, text: str = "text") -> DataFrame:
     """(row_id, copy, text): spaces after half of the tokens in the first half of the copies, line feeds after half of the lines in the others (DET-08).
 

@@ -135,6 +135,12 @@ def lm_npr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lm_stats(spark, sf_dir).select("row_id", F.round(lm.npr(base + F.col("n_tokens"), base), 6).alias("score"))
 
 
+@query()
+def lm_npr_perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return lm.perturbed_npr(docs).select("row_id", F.round("score", 6).alias("score"))
+
+
 def _lm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
     return lm.token_stats(lm.tokens(docs))

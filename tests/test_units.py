@@ -202,3 +202,34 @@ def test_validity_floors(spark):
     assert validity.by_length(df).count() == 0 and validity.by_length(df, cell_floor=20, bin_floor=5).count() == 5
     assert validity.automation_gap(df).count() == 0 and validity.automation_gap(df, floor=10).count() == 1
     assert correction.corrected(df).count() == 0 and correction.status_counts(correction.corrected(df, floor=10)).agg(F.sum("n")).first()[0] == 5
+
+
+def test_perturbed_npr(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    from calibrant.detectors import lm
+
+    texts = {1: "a b a c a b\na d b", 2: "b a b\na b c d a", 3: "", 4: None, 5: "a b a b a c"}
+    corpus = spark.createDataFrame(list(texts.items()), "row_id long, text string")
+
+    def pairs(text):
+        pieces = re.findall(r"\s+|\S+", (text or "").lower())
+        return list(zip(["", *pieces], pieces, strict=False))
+
+    counts = defaultdict(Counter)
+    for t in texts.values():
+        for a, b in pairs(t):
+            counts[a][b] += 1
+
+    def mean(text):
+        own = pairs(text)
+        return sum(math.log(1 + sum(n > counts[a][b] for n in counts[a].values())) for a, b in own) / max(1, len(own))
+
+    copied = defaultdict(list)
+    for r in lm.perturbations(corpus, 6).collect():
+        copied[r.row_id].append(mean(r.text))
+    got = {r.row_id: r.score for r in lm.perturbed_npr(corpus, 6).collect()}
+    assert got.keys() == texts.keys() and got[3] is None and got[4] is None
+    for i in (1, 2, 5):
+        assert len(copied[i]) == 6 and got[i] == pytest.approx(sum(copied[i]) / 6 / mean(texts[i])) and got[i] != pytest.approx(1)

@@ -1,12 +1,16 @@
 """Personal data: fixed patterns, and identifiers found from the company they keep.
 
 Base entities come from four patterns (built-in functions only; positions are
-cumulated from the pieces between matches). They seed a bootstrap over the
-pattern-instance graph: a pattern is the pair of words before and after an
-instance, an instance a token of a kind's shape. Patterns are scored by the
-share of their instances that are trusted entities of a kind, instances by the
-best of their patterns, for a fixed number of rounds; what confident patterns
-hold beyond the seeds is reported as well. Everything is DataFrame operations.
+cumulated from the pieces between matches). They and keys of well-known make
+seed a bootstrap over the pattern-instance graph. An instance is a token that
+could be an identifier: one of a kind's near shapes, or any long mix of letters
+and digits. A pattern is what surrounds it: one to three words before with the
+punctuation or key in front of it, the word after, or both sides together. In
+each round a pattern's confidence is the trusted share of all places of the
+corpus where it stands, an instance's trust that of its best pattern with enough
+different trusted instances; instances accepted in one round vouch for further
+patterns in the next. What is trusted at the end is reported beside the base
+entities, as its kind or as ``secret``. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from pyspark.sql import functions as F
 from calibrant.llm._state import keep
 
 KINDS = ("email", "ip", "card", "phone")
+#: Found by context only; listed after the others.
+SECRET = "secret"
 #: The base patterns. Possessive repeats and look-behinds only save
 #: time: they keep the leftmost matches of the plain patterns. That for cards takes
 #: only those of 13 to 19 digits, as matches are whole chains of digits.
@@ -34,15 +40,30 @@ SHAPES = {
     "ip": r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{1,4}(?![0-9a-f:])|(?<![0-9])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9x*-])[0-9x*]{4}(?:-[0-9x*]{4}){3}(?![0-9x*-])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "phone": r"(?<![0-9.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[.-][0-9]{3,4}[.-][0-9]{3,4}(?![0-9.-])|(?<![0-9])00[0-9]{9,13}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,}+={0,2}(?![A-Za-z0-9_+/=-])",
 }
-SHAPE_NEEDS = {"email": r"@|(?i)[\[(]at[\])]", "ip": r":[0-9a-fA-F]{0,4}:|\[\.\]", "card": r"[0-9x*]{4}-[0-9x*]{4}-|[0-9]{13}", "phone": r"[0-9]{3,4}[.-][0-9]{3,4}|00[0-9]{9}"}
-#: Rounds of scoring; a pattern's confidence and number of trusted entities from which on it discovers.
+SHAPE_NEEDS = {
+    "email": r"[@\[(](?:(?<=@)|(?i:at[\])]))",
+    "ip": r"[:\[](?:(?<=:)[0-9a-fA-F]{0,4}:|(?<=\[)\.\])",
+    "card": r"[0-9x*]{4}(?:-[0-9x*]{4}-|(?<=[0-9]{4})[0-9]{9})",
+    "phone": r"[0-9]{3}(?:[0-9]?[.-][0-9]{3}|(?<=00[0-9])[0-9]{8})",
+    "secret": r"[0-9](?:(?<=[A-Za-z_+/-][0-9])|(?=[A-Za-z_+/-]))",
+}
+#: Seeds among the tokens of kind secret: digests and keys in formats that their issuers have published.
+SECRET_SEEDS = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|akia[0-9a-z]{16}|gh[opsru]_[0-9a-z]{36}|xox[abprs]-[0-9a-z-]{20,})$"
+#: Rounds of scoring; the confidence from which on a pattern discovers, and its number of different trusted instances.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.5, 5
-#: Characters beside an entity within which the word there must end.
-CONTEXT = 64
-#: Pattern words up to which a list of them filters the corpus' words before these are
-#: counted (else all are), and texts with discoveries up to which they are broadcast.
-LISTED_WORDS, BROADCAST_TEXTS = 5_000, 50_000
+#: Characters beside an entity within which its words must stand.
+CONTEXT = 96
+#: A key with its sign (as in ``token=``) and opening punctuation before a token; punctuation after it.
+LEAD, TRAIL = r"(?:[\p{L}_.-]*[\"']?[=:])?[\"'(\[<{]*", r"[^\p{L}\p{N}\s]*"
+#: Words beside patterns up to which lists of them filter the corpus' places before these
+#: are counted (else all are); rows up to which tables of patterns or texts are broadcast.
+LISTED_WORDS, BROADCAST_ROWS = 5_000, 50_000
+#: Matches whose places are cumulated at a time.
+STRIDE = 256
+
+_SPANS = "array<struct<start:int,stop:int>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -69,104 +90,175 @@ def _valid(kind: str, match: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def matches(text: Column, pattern: str, needs: str, valid: Column | None = None) -> Column:
-    """array<struct<start,stop,match>> of a pattern's matches, in code points, stop exclusive.
+def _sums(steps: Column) -> Column:
+    """Running totals of an array<int>; strides are summed first, so that no long array grows step by step."""
+    empty = F.array().cast("array<int>")
+
+    def add(s: Column, x: Column) -> Column:
+        return F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out"))
+
+    def running(values: Column, first: Column) -> Column:
+        return F.aggregate(values, F.struct(first.alias("at"), empty.alias("out")), add, lambda s: s["out"])
+
+    strides = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRIDE).cast("int"))
+    totals = F.transform(strides, lambda c: F.aggregate(F.slice(steps, c * STRIDE + 1, F.lit(STRIDE)), F.lit(0), lambda a, x: a + x))
+    each = F.arrays_zip(strides.alias("c"), running(totals, F.lit(0)).alias("end"), totals.alias("own"))
+    return F.when(F.size(steps) > 0, F.flatten(F.transform(each, lambda x: running(F.slice(steps, x["c"] * STRIDE + 1, F.lit(STRIDE)), x["end"] - x["own"])))).otherwise(empty)
+
 
-    Matches and the gaps between them alternate, so lengths give the places.
+def _matched(rows: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Append for each name an array<struct<start,stop,match,before,after>> of its pattern's matches in column text.
+
+    Places are in code points, stop exclusive; before and after are the characters
+    beside the match, with a space for the text's edge. Matches and the gaps between
+    them alternate, so lengths give the places.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,stop:int,match:string>>")
+    own = rows.columns
+    none = F.array().cast("array<string>")
+    found = {k: F.when(F.col("text").rlike(needs), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none).alias(f"{k} found") for k, (p, needs) in patterns.items()}
+    rows = rows.select(*own, F.length("text").alias("n"), *found.values())
+    gaps = {k: F.when(F.size(f"{k} found") > 0, F.split("text", p, -1)).otherwise(none).alias(f"{k} gaps") for k, (p, _) in patterns.items()}
+    rows = rows.select("*", *gaps.values())
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        stop = start + F.length(x["match"])
-        return F.struct(stop.alias("at"), F.concat(s["found"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["match"].alias("match")))).alias("found"))
+    def zipped(k: str) -> Column:
+        f, g = F.col(f"{k} found"), F.col(f"{k} gaps")
+        edge = F.array(F.lit(""))
+        n = F.size(f)
+        return F.arrays_zip(F.slice(F.concat(edge, g), 1, n).alias("gap0"), F.slice(F.concat(edge, f), 1, n).alias("match0"), F.slice(g, 1, n).alias("gap"), F.slice(g, 2, n).alias("next"), f.alias("match"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"))
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
-    return F.when(text.rlike(needs), placed).otherwise(empty)
+    rows = rows.select(*own, "n", *[zipped(k).alias(f"{k} each") for k in patterns], *[F.transform(F.arrays_zip(F.slice(f"{k} gaps", 1, F.size(f"{k} found")).alias("gap"), F.col(f"{k} found").alias("match")), lambda x: F.length(x["gap"]) + F.length(x["match"])).alias(f"{k} steps") for k in patterns])
+    rows = rows.select(*own, "n", *[f"{k} each" for k in patterns], *[_sums(F.col(f"{k} steps")).alias(f"{k} stops") for k in patterns])
 
+    def placed(x: Column, stop: Column) -> Column:
+        start = stop - F.length(x["match"])
+        before = F.right(F.concat(F.right(x["gap0"], F.lit(CONTEXT)), x["match0"], x["gap"]), F.lit(CONTEXT))
+        after = F.left(x["next"], F.lit(CONTEXT))
+        edged = F.concat(F.when(F.length(before) == start, F.lit(" ")).otherwise(F.lit("")), before)
+        return F.struct(start.alias("start"), stop.alias("stop"), x["match"].alias("match"), edged.alias("before"), F.concat(after, F.when(stop + F.length(after) == F.col("n"), F.lit(" ")).otherwise(F.lit(""))).alias("after"))
 
-def base_spans(kind: str, text: Column) -> Column:
-    """The kind's valid matches; failing ones are dropped and not tried again."""
-    return F.filter(matches(text, PATTERNS[kind], NEEDS[kind]), lambda m: _valid(kind, m["match"]))
+    return rows.select(*own, *[F.zip_with(f"{k} each", f"{k} stops", placed).alias(k) for k in patterns])
 
 
 def _overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
 
 
-def _beside(text: Column, m: Column) -> tuple[Column, Column]:
-    """The whole words before and after a match, lower-cased; null where there is none or it is too long."""
-    begin = F.greatest(m["start"] - CONTEXT, F.lit(0))
-    before = F.substr(text, begin + 1, m["start"] - begin)
-    after = F.substr(text, m["stop"] + 1, F.lit(CONTEXT))
-    # at the text's edge a word may lack white space on its far side
-    left = F.regexp_extract(F.concat(F.when(begin == 0, F.lit(" ")).otherwise(F.lit("")), before), r"\s(\S+)\s*$", 1)
-    right = F.regexp_extract(F.concat(after, F.when(F.length(after) < CONTEXT, F.lit(" ")).otherwise(F.lit(""))), r"^\s*(\S+)\s", 1)
-    return F.lower(F.nullif(left, F.lit(""))), F.lower(F.nullif(right, F.lit("")))
+def _keys(l3: Column, l2: Column, l1: Column, lead: Column, trail: Column, r1: Column) -> dict[str, Column]:
+    """The patterns around one place, null where a part is missing."""
+    lead, trail = F.concat(F.lit("<"), lead), F.concat(trail, F.lit(">"))
+    space = F.lit(" ")
+    return {
+        "left1": F.concat(l1, space, lead),
+        "left2": F.concat(l2, space, l1, space, lead),
+        "left3": F.concat(l3, space, l2, space, l1, space, lead),
+        "right": F.concat(trail, space, r1),
+        "both": F.concat(l1, space, lead, F.lit("_"), trail, space, r1),
+        "key": F.when(lead.rlike("[=:]"), F.concat(F.lit("_ "), lead)),
+    }
+
+
+def _around(m: Column) -> Column:
+    """array<string>: the patterns around a match."""
+    before, after = F.lower(m["before"]), F.lower(m["after"])
+    words = [F.nullif(F.regexp_extract(before, r"\s(\S+)" + r"\s+\S+" * k + r"\s+\S*$", 1), F.lit("")) for k in range(3)]
+    lead = F.regexp_extract(before, r"(?<=\s)(\S*)$", 1)
+    lead = F.when(before.rlike(rf"\s{LEAD}$"), lead)
+    trail = F.when(after.rlike(rf"^{TRAIL}\s"), F.regexp_extract(after, r"^(\S*)", 1))
+    right = F.nullif(F.regexp_extract(after, r"^\S*\s+(\S+)\s", 1), F.lit(""))
+    keys = _keys(words[2], words[1], words[0], lead, trail, right)
+    # a token of several words has no place of its own among the words, which are counted one by one
+    keys["both"] = F.when(~m["match"].contains(" "), keys["both"])
+    return F.filter(F.array(*keys.values()), lambda k: k.isNotNull())
 
 
 def scan(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, h1, h2 (hash of the text), a span array per kind, and ``seen``: base entities and candidates with their words."""
+    """doc, h1, h2 (hash of the text), a span array per kind, and ``seen``: base entities and candidates with their patterns."""
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{doc}`").alias("doc"), F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(1), value).alias("h2"), value.alias("text"))
-    rows = rows.select("*", *[base_spans(k, F.col("text")).alias(k) for k in KINDS])
-    known = F.concat(*KINDS)
-    for k in KINDS:
-        rows = rows.withColumn(f"maybe_{k}", F.filter(matches(F.col("text"), SHAPES[k], SHAPE_NEEDS[k]), lambda m: ~F.exists(known, lambda b: _overlap(m, b))))
-
-    def seen(k: str, column: str, seed: bool) -> Column:
-        def one(m: Column) -> Column:
-            left, right = _beside(F.col("text"), m)
-            return F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), F.lower(m["match"]).alias("token"), left.alias("before"), right.alias("after"), F.lit(seed).alias("seed"))
+    rows = _matched(rows, {k: (PATTERNS[k], NEEDS[k]) for k in KINDS} | {f"maybe_{k}": (SHAPES[k], SHAPE_NEEDS[k]) for k in SHAPES})
+    # matches that fail their check are dropped and not tried again
+    rows = rows.select("doc", "h1", "h2", *[F.filter(k, lambda m: _valid(k, m["match"])).alias(k) for k in KINDS], *[f"maybe_{k}" for k in SHAPES])
+    rows = rows.select("*", F.concat(*[F.transform(k, lambda m: F.struct(m["start"], m["stop"])) for k in KINDS]).alias("known"))
+
+    def named(k: str, base: bool) -> Column:
+        fresh = F.col(k) if base else F.filter(f"maybe_{k}", lambda m: ~F.exists("known", lambda b: _overlap(m, b)))
+        return F.transform(fresh, lambda m: F.struct(F.lit(k).alias("kind"), F.lit(base).alias("base"), m.alias("m")))
+
+    def one(x: Column) -> Column:
+        m = x["m"]
+        token = F.lower(m["match"])
+        seed = x["base"] | ((x["kind"] == SECRET) & token.rlike(SECRET_SEEDS))
+        return F.struct(x["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), token.alias("token"), _around(m).alias("patterns"), seed.alias("seed"), x["base"].alias("base"))
+
+    every = F.transform(F.concat(*[named(k, True) for k in KINDS], *[named(k, False) for k in SHAPES]), one)
+    spans = [F.transform(k, lambda m: F.struct(m["start"], m["stop"])).alias(k) for k in KINDS]
+    return rows.select("doc", "h1", "h2", *spans, every.alias("seen"))
 
-        return F.transform(F.col(column), one)
 
-    every = F.concat(*[seen(k, k, True) for k in KINDS], *[seen(k, f"maybe_{k}", False) for k in KINDS])
-    spans = [F.transform(F.col(k), lambda m: F.struct(m["start"], m["stop"])).alias(k) for k in KINDS]
-    return rows.select("doc", "h1", "h2", *spans, every.alias("seen"))
+def _sized(rows: DataFrame) -> DataFrame:
+    """A checkpointed table, broadcast if its counted size allows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def discover(df: DataFrame, scanned: DataFrame, text: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """(h1, h2, kind, start, stop): candidates that confident patterns vouch for.
+    """(h1, h2, kind, start, stop): candidates that confident patterns vouch for, wherever they stand.
 
-    A pattern is a kind and the word before or after; its confidence the trusted
-    share of all words of the corpus that stand there. A candidate (kind and
-    token, wherever it stands) is trusted as far as its best pattern with enough
-    trusted entities. Seeds are trusted throughout.
+    Confidence is the trusted share of all places of a pattern; only patterns with
+    ``support`` different trusted instances count (copies of one text must not make
+    a pattern). Seeds are trusted throughout, others as far as their best pattern.
     """
     spots = scanned.select("h1", "h2", F.explode("seen").alias("s")).select("h1", "h2", "s.*")
-    sides = F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word")))
-    edges = spots.select("kind", "token", "seed", F.explode(sides).alias("p")).where("p.word IS NOT NULL")
-    edges = edges.groupBy("kind", "token", "seed", "p.side", "p.word").agg(F.count("*").alias("n"))
-    # support counts distinct entities: copies of one text must not make a pattern
-    seeded = edges.where("seed").groupBy("kind", "side", "word").agg(F.sum("n").alias("trusted"), F.count("*").alias("entities")).where(F.col("entities") >= support).drop("entities")
-    # only patterns that have seeds enough and candidates at all can discover
-    useful = keep(seeded.join(edges.where("NOT seed").select("kind", "side", "word").distinct(), ["kind", "side", "word"], "left_semi"))
-    frequency = _word_counts(df, text, useful.select("word").distinct())
-    patterns = keep(useful.join(frequency, "word"))
-    weak = keep(edges.where("NOT seed").join(patterns.select("kind", "side", "word"), ["kind", "side", "word"], "left_semi").drop("seed"))
-    trust = weak.select("kind", "token").distinct().withColumn("trust", F.lit(0.0))
+    edges = spots.select("kind", "token", "seed", F.explode("patterns").alias("pattern"))
+    edges = keep(edges.groupBy("kind", "pattern", "token").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    # a pattern with fewer instances in all never gets enough that are trusted; one kind needs a seed
+    rich = edges.groupBy("kind", "pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("spots")).where(F.col("instances") >= support)
+    rich = keep(rich.select("kind", "pattern", "spots"))
+    patterns = keep(rich.join(_places(df, text, rich.select("pattern").distinct()), "pattern", "left").select("kind", "pattern", F.greatest("spots", F.coalesce("count", F.lit(0))).alias("count")))
+    graph = keep(edges.join(_sized(patterns), ["kind", "pattern"]))
+    trust = graph.where("seed").select("kind", "token").distinct().withColumn("trust", F.lit(1.0))
     for _ in range(rounds):
-        gained = weak.join(trust, ["kind", "token"]).groupBy("kind", "side", "word").agg(F.sum(F.col("n") * F.col("trust")).alias("gained"))
-        scored = patterns.join(gained, ["kind", "side", "word"], "left").withColumn("score", F.least(F.lit(1.0), (F.col("trusted") + F.coalesce("gained", F.lit(0.0))) / F.col("count")))
-        trust = keep(weak.join(scored.select("kind", "side", "word", "score"), ["kind", "side", "word"]).groupBy("kind", "token").agg(F.max("score").alias("trust")))
-    found = trust.where(F.col("trust") >= confidence).select("kind", "token")
-    return spots.where("NOT seed").join(found, ["kind", "token"], "left_semi").select("h1", "h2", "kind", "start", "stop").distinct()
-
-
-def _word_counts(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
-    """How often the texts hold each of the words (lower-cased, between white space)."""
-    words = keep(words)
-    few = words.count()
-    if not few:
-        return words.withColumn("count", F.lit(0).cast("long"))
-    each = df.select(F.explode(F.split(F.lower(F.col(f"`{text}`").cast("string")), r"\s+")).alias("word"))
-    if few <= LISTED_WORDS:
-        each = each.where(F.col("word").isin([r[0] for r in words.collect()]))
-    return each.groupBy("word").agg(F.count("*").alias("count")).join(words, "word", "left_semi")
+        sure = graph.join(trust, ["kind", "token"], "left").withColumn("sure", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0))))
+        scored = sure.groupBy("kind", "pattern").agg(F.sum(F.col("n") * F.col("sure")).alias("trusted"), F.first("count").alias("count"), F.count(F.when(F.col("sure") >= confidence, 1)).alias("entities"))
+        scored = keep(scored.where(F.col("entities") >= support).select("kind", "pattern", (F.col("trusted") / F.col("count")).alias("score")))
+        trust = keep(graph.join(_sized(scored), ["kind", "pattern"]).groupBy("kind", "token").agg(F.max("score").alias("trust")))
+    found = keep(trust.where(F.col("trust") >= confidence).select("kind", "token"))
+    return spots.where("NOT base").join(_sized(found), ["kind", "token"], "left_semi").select("h1", "h2", "kind", "start", "stop").distinct()
+
+
+def _places(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """(pattern, count): at how many words of all texts (lower-cased, between white space) each of the patterns stands."""
+    patterns = keep(patterns)
+    kind = F.when(F.col("pattern").startswith("_ "), "key").when(F.col("pattern").rlike(r"^\S*> "), "right").otherwise("left")
+    # the word beside the token: the last before it, or the one after it
+    beside = F.when(kind == "right", F.regexp_extract("pattern", r" (\S+)$", 1)).when(kind == "left", F.regexp_extract("pattern", r"(\S+) <[^<]*$", 1))
+    beside = F.when(F.col("pattern").rlike(r"_\S*> \S+$") & (kind == "left"), F.regexp_extract("pattern", r"(\S+) <[^<]*_\S*> \S+$", 1)).otherwise(beside)
+    listed = keep(patterns.select(kind.alias("kind"), beside.alias("word")).distinct())
+    n = listed.count()
+    if not n:
+        return patterns.withColumn("count", F.lit(0).cast("long"))
+    words = F.split(F.lower(F.col(f"`{text}`").cast("string")), r"\s+")
+    edge = F.array(F.lit("").cast("string"))
+    rows = df.select(words.alias("w")).where(F.col("w").isNotNull())
+    rows = rows.select(F.concat(edge, edge, edge, "w").alias("a"), F.concat(edge, edge, "w").alias("b"), F.concat(edge, "w").alias("c"), "w", F.concat(F.slice("w", 2, F.size("w")), edge).alias("d"))
+    size = F.size("w")
+    rows = rows.select(F.inline(F.arrays_zip(F.slice("a", 1, size).alias("l3"), F.slice("b", 1, size).alias("l2"), F.slice("c", 1, size).alias("l1"), F.col("w").alias("own"), F.col("d").alias("r1"))))
+    if n <= LISTED_WORDS:
+        by: dict[str, list[str]] = {}
+        for r in listed.collect():
+            by.setdefault(r["kind"], []).append(r["word"])
+        tests = [F.col(c).isin(by[k]) for k, c in (("left", "l1"), ("right", "r1")) if k in by]
+        if "key" in by:
+            tests.append(F.col("own").rlike("[=:]"))
+        wanted = tests[0]
+        for t in tests[1:]:
+            wanted = wanted | t
+        rows = rows.where(wanted)
+    parts = [F.nullif(F.col(c), F.lit("")) for c in ("l3", "l2", "l1")]
+    lead, trail = F.regexp_extract("own", rf"^({LEAD})", 1), F.regexp_extract("own", rf"({TRAIL})$", 1)
+    rows = rows.select(*[p.alias(c) for p, c in zip(parts, ("l3", "l2", "l1"), strict=True)], lead.alias("lead"), trail.alias("trail"), F.nullif("r1", F.lit("")).alias("r1"))
+    keys = _keys(*[F.col(c) for c in ("l3", "l2", "l1", "lead", "trail", "r1")])
+    each = rows.select(F.explode(F.array(*keys.values())).alias("pattern")).where(F.col("pattern").isNotNull())
+    return each.join(_sized(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("count"))
 
 
 def _listed(kind: str, spans: Column) -> Column:
@@ -175,21 +267,23 @@ def _listed(kind: str, spans: Column) -> Column:
 
 
 def find(df: DataFrame, doc: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
-    """doc, a count of base entities per kind, base_sha256 and spans of every row.
+    """doc, a count of base entities per kind, base_sha256, spans and n_discovered of every row.
 
-    Spans are kind:start:stop, by kind as in ``KINDS`` and then by start. Null and
-    empty texts have none; repeated rows stay and get the same; an id of null
-    stays null. Discoveries overlap no base entity and change no base result.
+    Spans are kind:start:stop, by kind as in ``KINDS``, then ``SECRET``, and then by
+    start; n_discovered counts those beyond the base. Null and empty texts have
+    none; very long texts are read whole; repeated rows stay and get the same; an
+    id of null stays null; other columns of any name are left out. Discoveries
+    overlap no base entity and change no base result.
     """
     scanned = keep(scan(df, doc, text))
     new = discover(df, scanned, text, **options)
     more = keep(new.groupBy("h1", "h2").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("new")))
-    joined = scanned.drop("seen").join(F.broadcast(more) if more.count() <= BROADCAST_TEXTS else more, ["h1", "h2"], "left")
+    joined = scanned.drop("seen").join(_sized(more), ["h1", "h2"], "left").withColumn("new", F.coalesce("new", F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
 
-    def all_of(kind: str) -> Column:
-        own = F.filter(F.coalesce("new", F.array().cast("array<struct<kind:string,start:int,stop:int>>")), lambda m: m["kind"] == kind)
-        return F.concat(F.col(kind), F.transform(own, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"))))
+    def own(kind: str) -> Column:
+        return F.transform(F.filter("new", lambda m: m["kind"] == kind), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop")))
 
     base = F.array_join(F.concat(*[_listed(k, F.col(k)) for k in KINDS]), ",")
-    spans = F.array_join(F.concat(*[_listed(k, all_of(k)) for k in KINDS]), ",")
-    return joined.select(F.col("doc").alias(doc), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+    spans = F.array_join(F.concat(*[_listed(k, F.concat(F.col(k), own(k))) for k in KINDS], _listed(SECRET, own(SECRET))), ",")
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return joined.select(F.col("doc").alias(doc), *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.size("new").cast("long").alias("n_discovered"))

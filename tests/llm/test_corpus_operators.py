@@ -268,18 +268,54 @@ def test_base_spans(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_long_match_lists(spark):
+    text = "x " + " ".join(f"1.2.3.{i % 256}" for i in range(1500))
+    for r in pii.find(spark.createDataFrame([(1, text), (2, "1.2.3.4")], "doc_id long, text string")).collect():
+        assert r.spans == ",".join(brute_spans(text if r.doc_id == 1 else "1.2.3.4"))
+
+
 def test_bootstrap_discovers(spark):
     texts = [f"please mail: user{i}@host{i}.example.org today" for i in range(8)] + [f"so mail: user{i}[at]host.example today" for i in range(3)]
     texts += ["I saw user7[at]other.example once", "plain words"] + [f"call: +1 555 123 40{i:02d} now" for i in range(10, 18)] + ["call: 555-123-4567 now", "size 555-999-4567 mm"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    spans = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    rows = pii.find(df).collect()
+    spans = {r.doc_id: r.spans for r in rows}
     assert spans[8] == f"email:9:{9 + len('user0[at]host.example')}"
     assert spans[len(texts) - 2] == "phone:6:18" and spans[len(texts) - 1] == ""
-    assert spans[12] == ""
+    assert spans[11] == spans[12] == ""
+    assert sum(r.n_discovered for r in rows) == 4
     nodes = pii.find(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", nodes)
 
 
+def planted_secrets(draw):
+    """(text, spans of its secrets): keys of a known make teach a context, which finds others, which teach a second one."""
+    digest = lambda n: hashlib.sha1(str(n).encode()).hexdigest()
+    other = lambda n: "Zq" + "".join(draw.choice("abcdefGHIJKL0123456789") for _ in range(22)) + "7a"
+    shared = [other(i) for i in range(6)]
+    plans = [('secret = "{}" ok', digest(i)) for i in range(20)] + [('secret = "{}" ok', other(i)) for i in range(10)]
+    plans += [('secret = "{}" ok', s) for s in shared] + [("apikey={} ok", s) for s in shared] + [("apikey={} ok", other(i)) for i in range(5)]
+    for shape, value in plans:
+        head = words(draw, draw.randrange(30)) + " " + shape.split("{}")[0]
+        yield f"{head}{value}{shape.split('{}')[1]} {words(draw, 5)}", [f"secret:{len(head)}:{len(head) + len(value)}"]
+    for i in range(40):  # mixes of letters and digits in company that no identifier keeps
+        yield f"{words(draw, 12)} {other(i)} {words(draw, 12)}", []
+    for i in range(12):
+        yield f"part {other(i) if i < 2 else draw.choice(['list', 'number', 'of']) } was {words(draw, 3)}", []
+
+
+def test_bootstrap_recall_and_precision(spark):
+    """Every planted secret is found, of known make or not, the last ones by a context learnt from discoveries; nothing else is."""
+    planted = list(planted_secrets(random.Random(12)))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    wanted = {(i, s) for i, (_, own) in enumerate(planted) for s in own}
+    got = {(i, s) for i, spans in found.items() for s in spans.split(",") if s}
+    assert got == wanted
+    once = {r.doc_id: r.spans for r in pii.find(df, rounds=1).collect()}
+    assert sum(1 for s in once.values() if s) == len(wanted) - 5
+
+
 # archives
 
 

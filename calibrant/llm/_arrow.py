@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -38,6 +39,12 @@ def blocks(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [n + "_" * next(k for k in range(len(taken) + 1) if (n + "_" * k).lower() not in taken) for n in names]
+
+
 def map_text(df: DataFrame, column: str, kernel: Kernel, fields: list[T.StructField], drop: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
     """Append ``fields``, which ``kernel`` computes from the UTF-8 bytes of ``column``.
 
@@ -56,10 +63,11 @@ def map_text(df: DataFrame, column: str, kernel: Kernel, fields: list[T.StructFi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
-            for a, b in blocks([len(t or b"") for t in texts]):
+            texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+            # only a block's texts are Python objects at a time
+            for a, b in blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
                 part = batch.slice(a, b - a)
-                made = kernel(texts[a:b], *(part.column(part.schema.get_field_index(n)).to_pylist() for n in also))
+                made = kernel(texts.slice(a, b - a).to_pylist(), *(part.column(part.schema.get_field_index(n)).to_pylist() for n in also))
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]
                 columns += [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + [f.name for f in fields])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; one of our own where it is unset, as in tests."""
+    """The session's ``spark.checkpoint.dir``; one of our own where it is unset and all work is on this machine, as in tests."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[[^\]]*\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, folder, True)
     if not context.getCheckpointDir():
@@ -28,6 +31,23 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Rounds:
+    """Tables of an iteration in the shared folder: each outlives executors, and the last one replaces those before."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.folder, self.n = spark, new_folder(spark, kind), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_before(self) -> None:
+        """Delete the table before the last; nothing may read it any more."""
+        drop_folder(self.spark, f"{self.folder}/{self.n - 1}")
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder inside the shared one."""
     folder = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

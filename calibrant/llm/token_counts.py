@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from calibrant.llm._arrow import field, map_text
 
 #: Characters from which on a document is encoded in chunks, their length and first overlap.
-HUGE, CHUNK, OVERLAP = 65_536, 16_384, 256
+HUGE, CHUNK, OVERLAP = 8_192, 8_192, 256
 #: Distinct stretches that a worker remembers before it starts anew.
 TABLE_WORDS = 400_000
 

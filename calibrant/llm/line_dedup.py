@@ -58,20 +58,36 @@ def boilerplate(df: DataFrame, doc: str = "doc_id", text: str = "text", site: st
     return candidates.where(clear).select("a", "b", "keeper").unionByName(exact.where(F.col("sites") >= min_sites).select("a", "b", "keeper"))
 
 
+def _among(values: Column, x: Column) -> Column:
+    """Whether a sorted array holds ``x``; long arrays are halved until the place is found."""
+    n = F.size(values)
+
+    def half(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        up = F.coalesce(F.get(values, middle) < x, F.lit(False))
+        return F.struct(F.when(up, middle + 1).otherwise(s["low"]).alias("low"), F.when(up, s["high"]).otherwise(middle).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    place = F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), half, lambda s: s["low"])
+    return F.when(n <= 16, F.array_contains(values, x)).otherwise(F.coalesce(F.get(values, place) == x, F.lit(False)))
+
+
 def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``df`` with boilerplate lines taken out of ``text``, except in the document that keeps each.
 
-    Columns and rows stay; null and empty texts stay as they are; blank lines
-    stay; of rows with the keeper's id all keep the line. A text whose lines all
-    go becomes empty.
+    Columns and rows stay, whatever the columns' names; null and empty texts stay
+    as they are, and so do blank lines; very long texts take a time in proportion to
+    their lines; of rows with the keeper's id all keep the line. A text whose lines
+    all go becomes empty.
     """
     found = keep(boilerplate(df, doc, text, site, min_sites))
     # the lowest id keeps the line; a null keeper (all ids null) is kept by all of them
     rows = _lines(df, doc, text, site)
     lost = rows.join(_sized(found), ["a", "b"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
-    key = F.coalesce(F.xxhash64("doc"), F.lit(0))
-    lost = lost.select(key.alias("_k"), F.struct("a", "b").alias("h")).distinct().groupBy("_k").agg(F.collect_list("h").alias("_lost"))
-    value = F.col(f"`{text}`").cast("string")
-    joined = df.withColumn("_k", F.coalesce(F.xxhash64(F.col(f"`{doc}`")), F.lit(0))).join(lost, "_k", "left")
-    kept = F.array_join(F.filter(F.split(value, "\n"), lambda x: ~F.array_contains(F.col("_lost"), _hash(x))), "\n")
-    return joined.select(*[(F.when(F.col("_lost").isNull(), value).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns])
+    lost = lost.select("doc", F.struct("a", "b").alias("h")).distinct().groupBy(F.col("doc").alias("of")).agg(F.array_sort(F.collect_list("h")).alias("lost"))
+    own = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    joined = own.join(lost, own["doc"].eqNullSafe(lost["of"]), "left")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), _hash(x).alias("h")))
+    kept = F.array_join(F.transform(F.filter(lines, lambda x: ~_among(F.col("lost"), x["h"])), lambda x: x["line"]), "\n")
+    cleaned = F.when(F.col("lost").isNull(), F.col("text")).otherwise(kept)
+    return joined.select(*[(cleaned if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)])

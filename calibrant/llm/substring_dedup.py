@@ -29,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.llm import _bytes
-from calibrant.llm._arrow import blocks, field, map_text, small_batches
+from calibrant.llm._arrow import blocks, field, map_text, small_batches, unused
 from calibrant.llm._state import keep
 
 #: Words of a passage, and of the runs among which its seed is chosen.
 WINDOW, ANCHOR = 35, 12
 #: Bits of the table that tells tasks which seeds may be met twice (8 MB; others' passages need not travel).
 FILTER_BITS = 26
-#: Places of a seed from which on it is counted passage by passage; at most this many such seeds are broadcast.
-HEAVY_PLACES, HEAVY_SEEDS = 2000, 1_000_000
+#: Places of a seed from which on it is counted passage by passage, whatever the input's size; a list of
+#: up to so many such seeds is broadcast (8 MB), a longer one is joined.
+HEAVY_PLACES, HEAVY_SEEDS = 1000, 1_000_000
 
 _U = np.uint64
 #: Kinds of rows that tasks hand on: a seed with its passages; of heavy seeds a passage
@@ -100,7 +101,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def repeats(df: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, heavy_places: int = HEAVY_PLACES) -> DataFrame:
+def repeats(df: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, heavy_places: int = HEAVY_PLACES, heavy_seeds: int = HEAVY_SEEDS) -> DataFrame:
     """One row (h1, h2, spans) for each text with repeats; spans are sorted word ranges, end exclusive."""
     if not 0 < anchor <= window:
         raise ValueError("an anchor has 1 to `window` words")
@@ -122,9 +123,10 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW, anchor: int
 
     # a seed met once in all texts cannot have a repeat
     met = keep(keyed.select("text").mapInArrow(only_seeds, "seed long").groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
-    total = met.agg(F.sum("n")).first()[0] or 0
-    limit = max(heavy_places, total // HEAVY_SEEDS)
-    heavy = np.sort(np.array([r[0] for r in met.where(F.col("n") > limit).select("seed").toLocalIterator()], np.int64))
+    hot_seeds = met.where(F.col("n") > heavy_places).select("seed")
+    n_hot = hot_seeds.count()
+    listed = n_hot <= heavy_seeds
+    heavy = np.sort(np.array([r[0] for r in hot_seeds.toLocalIterator()] if listed else [], np.int64))
     shared = spark.sparkContext.broadcast((_bits(met), heavy))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,27 +227,33 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW, anchor: int
         return pa.RecordBatch.from_arrays([pa.array(table.column("h1").to_numpy()[at]), pa.array(table.column("h2").to_numpy()[at]), pa.array(place[begins].astype(np.int32)), pa.array((place[ends] + window).astype(np.int32))], ["h1", "h2", "begin", "end"])
 
     schema = "h1 long, h2 long, begin int, end int"
-    light = placed.where(F.col("kind") == LIGHT).select("seed", "h1", "h2", "first", "passages").repartition("seed").sortWithinPartitions("seed").mapInArrow(meet, schema)
-    spans = light
-    if len(heavy):
+    light = placed.where(F.col("kind") == LIGHT).select("seed", "h1", "h2", "first", "passages")
+    hot = light.limit(0)
+    if not listed:  # blocks could not tell heavy seeds: their passages are taken apart here
+        hot, light = light.join(hot_seeds, "seed", "left_semi"), light.join(hot_seeds, "seed", "left_anti")
+    spans = light.repartition("seed").sortWithinPartitions("seed").mapInArrow(meet, schema)
+    if n_hot:
         known = placed.where(F.col("kind") == SPAN).select("h1", "h2", F.col("first").alias("begin"), F.col("last").alias("end"))
         passage = F.col("passages")[0].alias("passage")
         asked = placed.where(F.col("kind") == ASKED).select("seed", passage, "h1", "h2", "first")
-        told = placed.where(F.col("kind").isin(ASKED, TOLD)).groupBy("seed", passage).agg(F.sum(F.when(F.col("kind") == TOLD, 2).otherwise(1)).alias("n"))
+        told = placed.where(F.col("kind") == TOLD).select("seed", passage, F.lit(2).alias("n"))
+        if not listed:
+            asked = hot.select("seed", "h1", "h2", "first", F.posexplode("passages").alias("k", "passage")).select("seed", "passage", "h1", "h2", (F.col("first") + F.col("k")).alias("first"))
+        told = asked.select("seed", "passage", F.lit(1).alias("n")).unionByName(told).groupBy("seed", "passage").agg(F.sum("n").alias("n"))
         again = told.where("n > 1").select("seed", "passage")
         answered = asked.join(again, ["seed", "passage"]).select("h1", "h2", F.col("first").alias("begin"), (F.col("first") + window).alias("end"))
-        spans = light.unionByName(known).unionByName(answered)
+        spans = spans.unionByName(known).unionByName(answered)
     gathered = spans.distinct().groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     return gathered
 
 
 def _with_repeats(df: DataFrame, text: str, **options: int) -> DataFrame:
-    """``df`` with column _spans, by the content of ``text``."""
-    found = repeats(df, text, **options)
+    """``df`` with one more column, the last: the spans of ``text`` by its content."""
+    h1, h2, spans = unused(df, "h1", "h2", "spans")
+    found = repeats(df, text, **options).toDF(h1, h2, spans)
     value = F.col(f"`{text}`").cast("string")
-    marked = df.select("*", F.xxhash64(value).alias("_h1"), F.xxhash64(F.lit(1), value).alias("_h2"))
-    found = found.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("spans").alias("_spans"))
-    return marked.join(found, ["_h1", "_h2"], "left").drop("_h1", "_h2")
+    marked = df.select("*", F.xxhash64(value).alias(h1), F.xxhash64(F.lit(1), value).alias(h2))
+    return marked.join(found, [h1, h2], "left").drop(h1, h2)
 
 
 def kept_words(text: bytes | None, spans: list | None) -> tuple[int, list[bytes]]:
@@ -266,7 +274,9 @@ def digests(df: DataFrame, text: str = "text", **options: int) -> DataFrame:
     """Append n_words, n_removed and kept_sha256 (kept words joined by a space), drop the text.
 
     Null and empty texts have no words; texts shorter than a passage keep all of
-    theirs; of repeated texts nothing is left if they have a passage's length.
+    theirs; very long texts are read whole; of repeated texts nothing is left if they
+    have a passage's length. Other columns of any name stay, but for those with the
+    name of a result, which are replaced.
     """
 
     def kernel(texts: list, spans: list) -> list:
@@ -274,15 +284,17 @@ def digests(df: DataFrame, text: str = "text", **options: int) -> DataFrame:
         return [[n for n, _ in rows], [n - len(w) for n, w in rows], [hashlib.sha256(b" ".join(w)).hexdigest() for _, w in rows]]
 
     marked = _with_repeats(df, text, **options)
-    return map_text(marked, text, kernel, [field("n_words", "long"), field("n_removed", "long"), field("kept_sha256", "string")], drop=(text, "_spans"), also=("_spans",))
+    spans = marked.columns[-1]
+    return map_text(marked, text, kernel, [field("n_words", "long"), field("n_removed", "long"), field("kept_sha256", "string")], drop=(text, spans), also=(spans,))
 
 
 def remove(df: DataFrame, text: str = "text", **options: int) -> DataFrame:
-    """Replace ``text`` by its kept words, joined by a space; a text without repeats (or null) stays as it is."""
+    """Replace ``text`` by its kept words, joined by a space; a text without repeats (or null) stays as it is, and so do all other columns."""
 
     def kernel(texts: list, spans: list) -> list:
         return [[t if not s else b" ".join(kept_words(t, s)[1]).decode() for t, s in zip(texts, spans, strict=True)]]
 
     marked = _with_repeats(df, text, **options)
-    out = map_text(marked, text, kernel, [field(text, "string")], drop=("_spans",), also=("_spans",))
+    spans = marked.columns[-1]
+    out = map_text(marked, text, kernel, [field(text, "string")], drop=(spans,), also=(spans,))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

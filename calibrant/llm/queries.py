@@ -78,14 +78,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written to archives and read back."""
+    """All pages written to archives and read back; an archive that does not read back whole fails the query."""
     folder = warc.archive_folder(spark)
     records = warc.plan_records(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     manifest = warc.write_archives(records, folder)
-    read = warc.read_archives(spark, folder, manifest, payloads=False).where("problem IS NULL")
-    result = keep(read.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")))
+    read = warc.read_archives(spark, folder, manifest, payloads=False)
+    result = keep(read.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "problem"))
+    warc.require_whole(result, manifest)
     drop_folder(spark, folder)
-    return result
+    return result.drop("problem")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

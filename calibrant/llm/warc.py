@@ -261,5 +261,13 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None =
     return files.mapInArrow(run, READ_SCHEMA)
 
 
+def require_whole(records: DataFrame, manifest: DataFrame) -> None:
+    """Raise unless ``records`` (as read) are as many as ``manifest`` says, without a problem."""
+    told = manifest.agg(F.sum("records")).first()[0] or 0
+    n, bad, one = records.agg(F.count("*"), F.count("problem"), F.min("problem")).first()
+    if bad or n != told:
+        raise ValueError(f"archives hold {told} records; {n} were read, {bad} of them with a problem ({one})")
+
+
 def archive_folder(spark: SparkSession) -> str:
     return new_folder(spark, "warc")

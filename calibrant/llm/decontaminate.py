@@ -5,13 +5,15 @@ every item. Each document streams through it while the length of the longest
 match that ends at the current word is tracked; a match as long as a window
 marks the window's words and its items. Documents are never shuffled, and the
 automaton is a broadcast of checked size: more items than ``BLOCK_WORDS`` words
-are taken in several blocks, one pass over the documents each.
+are taken in several blocks, one pass over the documents each, checkpointed in
+between, so that a worker holds one block's automaton at a time.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -19,7 +21,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm._arrow import field, map_text
+from calibrant.llm._arrow import field, map_text, unused
+from calibrant.llm._state import keep
 
 #: Words of an item that make a window; a shorter item is one window as a whole.
 WINDOW = 8
@@ -174,8 +177,12 @@ def find(df: DataFrame, items: DataFrame, text: str = "text", item: str = "item_
     listed; repeated items count once. Rows and other columns pass through.
     """
     spark = df.sparkSession
+    shared = None
     found = df.withColumns({"hit_spans": F.array().cast("array<struct<begin:int,end:int>>"), "hit_items": F.array().cast("array<string>")})
     for block in item_blocks(items, item, item_text, block_words):
+        if shared is not None:  # the block before is done with, and its automata go
+            found = keep(found)
+            shared.destroy()
         shared = spark.sparkContext.broadcast(block)
 
         def kernel(texts: list, spans: list, names: list, shared: Any = shared) -> list:
@@ -219,18 +226,24 @@ def clean(df: DataFrame, items: DataFrame, text: str = "text", item: str = "item
     """Remove matched spans from ``text``; drop rows whose words are matched beyond ``coverage``.
 
     Removal goes on until no window is left, as it can join the words around a
-    span. Null, empty and clean texts stay as they are; columns stay the same.
+    span. Null, empty and clean texts stay as they are; repeated rows are treated
+    alike; columns stay the same, whatever their names.
     """
-    shared = [df.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items, item, item_text, block_words)]
+    blocks = iter(item_blocks(items, item, item_text, block_words))
+    first = list(islice(blocks, 2))
+    if len(first) > 1:
+        return _clean_in_passes(df, items, text, item, item_text, window, coverage, block_words)
+    shared = df.sparkSession.sparkContext.broadcast(first[0] if first else [])
 
     def kernel(texts: list) -> list:
         out, kept = [], []
+        automaton = _automaton(shared, window)
         for t in texts:
             first = True
             good = True
             while good:
                 words = words_of(t)
-                spans = _merge(sorted(s for b in shared for s in _automaton(b, window).hits(words)[0]))
+                spans = automaton.hits(words)[0]
                 if not spans:
                     break
                 if first and sum(b - a for a, b in spans) > coverage * len(words):
@@ -240,8 +253,31 @@ def clean(df: DataFrame, items: DataFrame, text: str = "text", item: str = "item
             kept.append(good)
         return [out, kept]
 
-    name = "_kept"
-    while name in df.columns:
-        name += "_"
+    (name,) = unused(df, "kept")
     marked = map_text(df, text, kernel, [field(text, "string"), field(name, "boolean")])
     return marked.where(F.col(name)).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _clean_in_passes(df: DataFrame, items: DataFrame, text: str, item: str, item_text: str, window: int, coverage: float, block_words: int) -> DataFrame:
+    """``clean`` for items of several blocks: spans of all blocks are found and cut in turns, of texts that had any last time."""
+    names = df.columns
+    own = [f"c{i}" for i in range(len(names))]
+    rest = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)], F.col(f"`{text}`").cast("string").alias("body"))
+
+    def cutting(texts: list, spans: list) -> list:
+        return [[cut(t, [(s["begin"], s["end"]) for s in own]).decode() for t, own in zip(texts, spans, strict=True)]]
+
+    settled: DataFrame | None = None
+    while True:
+        found = keep(find(rest, items, "body", item, item_text, window, block_words))
+        hit = F.size("hit_spans") > 0
+        done = found.where(~hit).select(*own, "body")
+        marked = found.where(hit)
+        if settled is None:
+            covered = F.aggregate("hit_spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"])
+            marked = marked.where(covered <= coverage * F.col("n_words"))
+        settled = done if settled is None else settled.unionByName(done)
+        rest = keep(map_text(marked.select(*own, "body", "hit_spans"), "body", cutting, [field("body", "string")], drop=("hit_spans",), also=("hit_spans",)))
+        if rest.isEmpty():
+            break
+    return settled.select(*[F.col("body" if c == text else o).alias(c) for c, o in zip(names, own, strict=True)])

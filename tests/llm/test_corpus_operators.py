@@ -48,6 +48,22 @@ def test_lines(spark):
     assert line_dedup.remove(df.limit(0)).count() == 0
 
 
+def test_lines_with_clashing_names(spark):
+    names = ["keeper", "lost", "of", "doc", "a", "b", "h", "c0", "c1", "_k", "_lost", "sites", "line", "site"]
+    rows = [(i, f"own {i}\nthe footer", f"s{i % 12}", *[f"{n}{i}" for n in names]) for i in range(24)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    found = line_dedup.remove(df)
+    assert found.columns == df.columns
+    assert sorted(tuple(r) for r in found.collect()) == [(r[0], r[1] if i == 0 else f"own {i}", *r[2:]) for i, r in enumerate(rows)]
+
+
+def test_long_texts_of_boilerplate(spark):
+    shared = [f"shared {i}" for i in range(60)]
+    rows = [(i, "\n".join(shared + [f"own {i}"] + shared[::-1]), f"s{i}") for i in range(12)]
+    found = {r.doc_id: r.text for r in line_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found == {i: t if i == 0 else f"own {i}" for i, t, _ in rows}
+
+
 # SimHash
 
 
@@ -142,6 +158,13 @@ def test_components(spark):
     assert found == {x: low[x] for x in touched}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 3)
+    edges = [(500, i) for i in range(20, 40)] + [(600, i) for i in range(38, 60)] + [(1, 2), (2, 3), (3, 1)]
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{i: 20 for i in [*range(20, 60), 500, 600]}, 1: 1, 2: 1, 3: 1}
+
+
 def test_unique(spark):
     draw = random.Random(4)
     base = [words(draw, 150, 5000) for _ in range(30)]
@@ -218,6 +241,8 @@ def test_passages(spark, heavy):
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(df, heavy_places=heavy).collect()}
     assert found == dict(enumerate(brute_passages(texts, 35)))
+    joined = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(df, heavy_places=heavy, heavy_seeds=0).collect()}
+    assert joined == found
     short = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(df, window=5, anchor=2, heavy_places=heavy).collect()}
     assert short == dict(enumerate(brute_passages(texts, 5)))
     kept = substring_dedup.remove(df)
@@ -225,6 +250,20 @@ def test_passages(spark, heavy):
     assert substring_dedup.digests(df.limit(0)).count() == 0
 
 
+def test_passages_with_clashing_names(spark):
+    draw = random.Random(3)
+    passage = words(draw, 50)
+    names = ["h1", "h2", "spans", "_h1", "_h2", "_spans", "H1", "seed", "passages"][:6] + ["seed", "passages", "n"]
+    rows = [(i, f"{words(draw, 20)} {passage} {words(draw, 20)}", *[f"{n}{i}" for n in names]) for i in range(6)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = substring_dedup.remove(df)
+    assert kept.columns == df.columns
+    expected = [(r[0], " ".join(r[1].split()[:20] + r[1].split()[70:]), *r[2:]) for r in rows]
+    assert sorted(tuple(r) for r in kept.collect()) == expected
+    told = substring_dedup.digests(df)
+    assert sorted(tuple(r[n] for n in ["doc_id", *names]) for r in told.collect()) == [(r[0], *r[2:]) for r in rows]
+
+
 # personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -345,6 +384,20 @@ def test_archive_round_trip(spark):
     assert none.count() == 0 and warc.read_archives(spark, empty, none).count() == 0
 
 
+def test_incomplete_archives_fail(spark):
+    import glob
+
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string")
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archives(warc.plan_records(df).repartition(2), folder, archive_bytes=4000)
+    warc.require_whole(warc.read_archives(spark, folder, manifest), manifest)
+    file = max(glob.glob(folder.removeprefix("file:") + "/*.zst"))
+    with open(file, "r+b") as archive:
+        archive.truncate(120)
+    with pytest.raises(ValueError, match="records"):
+        warc.require_whole(warc.read_archives(spark, folder, manifest), manifest)
+
+
 def test_reader_checks():
     payloads = [b"<p>%d</p>" % i * 60 for i in range(200)]
     records = [warc.record(i, f"http://x/{i}", p, hashlib.sha1(p).hexdigest(), None, False, "2020-01-01T00:00:00Z") for i, p in enumerate(payloads)]

@@ -63,6 +63,13 @@ def test_clean(spark):
     items = spark.createDataFrame([(1, passage)], "item_id long, text string")
     kept = {r.doc_id: r.text for r in D.clean(docs, items).collect()}
     assert kept == {1: "Start, ! End of it\nall", 2: None, 4: "   x y z".replace("   ", "  ", 1).lstrip() and kept[4], 5: "nothing here"}
+    others = spark.createDataFrame([(1, passage), (2, "some other item of nine words that is long")], "item_id long, text string")
+    texts = docs.unionByName(spark.createDataFrame([(6, "a some other item of nine one two three four five six seven eight words that is long b " + "pad " * 30)], docs.schema)).withColumns({"hit_spans": F.lit("x"), "n_words": F.lit("y"), "body": F.lit("z"), "kept": F.lit("k")})
+    passes = D.clean(texts, others, block_words=8)
+    assert passes.columns == texts.columns
+    expected = {tuple(r) for r in D.clean(texts, others).collect()}
+    assert {tuple(r) for r in passes.collect()} == expected and len(expected) == 5
+    assert all(r[2:] == ("x", "y", "z", "k") for r in expected)
     assert "three four five six seven eight" not in kept[4] and kept[4].split() == ["x", "y", "z"]
 
 

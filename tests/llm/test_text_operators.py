@@ -184,3 +184,24 @@ def test_held_out_quality(spark):
     rows = {r.doc_id: r for r in Q.op7_quality_rules(spark, folder).collect()}
     passed = [(rows[i].kept, q) for i, q in labels.items() if not rows[i].base_failed]
     assert sum(a == bool(q) for a, q in passed) / len(passed) > 0.9
+
+
+def test_repeated_labels_and_documents_teach_once(spark):
+    from calibrant.llm import _labels
+
+    docs = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, "c"), (3, "d"), (None, "e"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 40 + [(2, 0), (3, 0), (3, 1), (None, 1), (4, 1), (2, None)], "doc_id long, quality int")
+    rows, counts = _labels.sample(docs, labels, "quality")
+    assert sorted((r["label"], r["text"]) for r in rows.collect()) == [(0, "c"), (1, "a")]
+    assert counts == {0: 1, 1: 2}
+
+
+def test_chunks_carry_whole_tables(spark, sf_dir):
+    """Every document of the smallest table through chunks of a few hundred characters, as one encoding has it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    whole = {r.doc_id: r.n_tokens for r in N.count_tokens(docs, BYTES, huge=10**9).collect()}
+    library = N.counter(BYTES, N.HUGE, N.CHUNK, N.OVERLAP).library
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert whole == {i: len(library.encode(t, add_special_tokens=False)) for i, t in texts.items()}
+    for chunk, overlap in ((400, 64), (N.CHUNK, N.OVERLAP)):
+        assert {r.doc_id: r.n_tokens for r in N.count_tokens(docs, BYTES, huge=chunk, chunk=chunk, overlap=overlap).collect()} == whole

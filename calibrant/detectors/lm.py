@@ -8,14 +8,20 @@ its context table grows with the corpus and is joined, never collected.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ALPHA = 0.5
+#: White space as Spark's patterns have it: the copies' pairs must be those of the model.
+_PIECES = re.compile(r"[ \t\n\x0b\f\r]+|[^ \t\n\x0b\f\r]+")
 
 
 def tokens(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -83,6 +89,26 @@ def spaced_pairs(corpus: DataFrame, text: str = "text") -> DataFrame:
     return each.select("row_id", "t.prev", "t.token", "weight")
 
 
+def perturbed_pairs(corpus: DataFrame, copies: int = 50, text: str = "text") -> DataFrame:
+    """``spaced_pairs`` of all perturbed copies, each text's counted together: rows follow its different pairs, not the copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, value in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                weights: dict[tuple[str, str], float] = {}
+                for index in range(copies):
+                    pieces = _PIECES.findall(perturbed(value, index, copies).lower())
+                    for pair, n in Counter(zip(["", *pieces], pieces, strict=False)).items():
+                        weights[pair] = weights.get(pair, 0.0) + n / len(pieces)
+                if weights:
+                    before, after = zip(*weights, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(row, len(weights)), pa.array(before), pa.array(after), pa.array(weights.values())], ["row_id", "prev", "token", "weight"])
+
+    own = corpus.select("row_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = own.schema["row_id"].dataType.simpleString()
+    return own.mapInArrow(run, f"row_id {kind}, prev string, token string, weight double")
+
+
 def perturbed_npr(corpus: DataFrame, copies: int = 50, text: str = "text") -> DataFrame:
     """(row_id, score): mean log rank of the perturbed copies over that of the text (DET-07).
 
@@ -101,29 +127,33 @@ def perturbed_npr(corpus: DataFrame, copies: int = 50, text: str = "text") -> Da
         joined = weights.join(ranks, ["prev", "token"], "left").join(seen, "prev", "left")
         return joined.groupBy("row_id").agg(F.sum(F.col("w") * F.log(rank)).alias(name))
 
-    perturbed = mean(spaced_pairs(perturbations(corpus, copies, text=text)), "perturbed")
+    perturbed = mean(perturbed_pairs(corpus, copies, text), "perturbed")
     scored = corpus.select("row_id").join(mean(own, "base"), "row_id", "left").join(perturbed, "row_id", "left")
     return scored.select("row_id", npr(F.col("perturbed") / copies, F.col("base")).alias("score"))
 
 
+def perturbed(value: str, index: int, copies: int, share: float = 0.5, spaces: int = 2) -> str:
+    """Copy ``index`` of a text."""
+    seed = int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+    draw = np.random.default_rng([seed, index])
+    mark = " " if index < copies // 2 else "\n"
+    pieces = value.split(mark)
+    chosen = draw.choice(len(pieces), int(len(pieces) * share), replace=False)
+    extra = draw.poisson(spaces, len(chosen)) + 1 if mark == " " else np.ones(len(chosen), int)
+    for i, n in zip(chosen.tolist(), extra.tolist(), strict=True):
+        pieces[i] += mark * n
+    return mark.join(pieces)
+
+
 def perturbations(corpus: DataFrame, copies: int = 50, share: float = 0.5, spaces: int = 2, text: str = "text") -> DataFrame:
     """(row_id, copy, text): spaces after half of the tokens in the first half of the copies, line feeds after half of the lines in the others (DET-08).
 
     Draws depend on the text and the copy's number alone.
     """
 
-    def one(value: str, index: int) -> str:
-        seed = int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "big")
-        draw = np.random.default_rng([seed, index])
-        mark, extra = (" ", lambda: " " * (int(draw.poisson(spaces)) + 1)) if index < copies // 2 else ("\n", lambda: "\n")
-        pieces = value.split(mark)
-        for i in draw.choice(len(pieces), int(len(pieces) * share), replace=False):
-            pieces[i] += extra()
-        return mark.join(pieces)
-
     @F.pandas_udf("string")
     def perturb(texts: pd.Series, indexes: pd.Series) -> pd.Series:
-        return pd.Series([one(t or "", int(i)) for t, i in zip(texts, indexes, strict=True)])
+        return pd.Series([perturbed(t or "", int(i), copies, share, spaces) for t, i in zip(texts, indexes, strict=True)])
 
     each = corpus.select("row_id", F.coalesce(F.col(text), F.lit("")).alias("text"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
     return each.select("row_id", "copy", perturb("text", "copy").alias("text"))

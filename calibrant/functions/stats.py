@@ -14,6 +14,10 @@ from calibrant.functions.structure import clip, edges
 from calibrant.operators.relational import prefix_sums
 
 TARGET_FPR = 0.05
+#: Ranges of scores whose counts are resampled; with fewer distinct scores each has one of its own, if it holds enough rows.
+RANGES = 128
+#: Replicates that one row computes.
+REPLICATES_A_ROW = 25
 
 
 def is_positive() -> Column:
@@ -51,6 +55,70 @@ def operating_point(counts: DataFrame, keys: list[str], target: float = TARGET_F
     return rows.groupBy(*keys).agg(chosen.alias("o")).select(*keys, F.col("o.score").alias("threshold"), F.col("o.fpr").alias("fpr"), F.col("o.recall").alias("recall"))
 
 
+def score_ranges(counts: DataFrame, keys: list[str], p: str = "p", n: str = "n", ranges: int = RANGES) -> DataFrame:
+    """(keys, ranges): for each key its rows by ranges of scores, array<struct<r,p,n,start,twice>>.
+
+    A range holds about as many rows of both sides as any other, never part of a
+    score. start counts the n below it; twice is double the sum, over its p, of the
+    n inside it that are lower (ties half).
+    """
+    used = counts.where((F.col(p) > 0) | (F.col(n) > 0)).select(*keys, "score", F.col(p).alias("p"), F.col(n).alias("n"), (F.col(p) + F.col(n)).alias("t"))
+    totals = used.groupBy(*keys).agg(F.sum("t").alias("all"))
+    placed = prefix_sums(used, keys, "score", ["t", "n"]).join(F.broadcast(totals), keys)  # totals: a row per cell
+    r = F.floor(F.col("t_before") * ranges / F.col("all")).cast("int")
+    low = F.min("n_before")
+    cells = placed.groupBy(*keys, r.alias("r")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), low.alias("start"), (F.sum(F.col("p") * (2 * F.col("n_before") + F.col("n"))) - 2 * F.sum("p") * low).alias("twice"))
+    return cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "p", "n", "start", "twice"))).alias("ranges"))
+
+
+def resampled(count: Column, *names: Column) -> Column:
+    """A Poisson draw with mean ``count``, by a hash of the names: how often a resample takes so many rows.
+
+    The quantile is expanded about the normal one up to the skewness, which gives
+    the probabilities of one row's draws to about 0.01, and those of more rows better.
+    """
+    h = F.md5(F.concat_ws("|", *names))
+    u = [(F.conv(F.substring(h, k, 8), 16, 10).cast("double") + 0.5) / 4294967296.0 for k in (1, 9)]
+    root = F.sqrt(count.cast("double"))
+    z = F.greatest(F.sqrt(-2.0 * F.log(u[0])) * F.cos(6.283185307179586 * u[1]), -3.0 * root)
+    return F.greatest(F.floor(count + root * z + F.when(count > 0, (z * z - 1.0) / 6.0).otherwise(0.0) + 0.5), F.lit(0)).cast("double")
+
+
+def replicated(rows: DataFrame, replicates: int) -> DataFrame:
+    """Each row once per ``replicate``, dealt out over all tasks in strides before the last step."""
+    strides = -(-replicates // REPLICATES_A_ROW)
+    dealt = rows.withColumn("_stride", F.explode(F.sequence(F.lit(0), F.lit(strides - 1)))).repartition("_stride")
+    first = F.col("_stride") * REPLICATES_A_ROW + 1
+    return dealt.withColumn("replicate", F.explode(F.sequence(first, F.least(first + REPLICATES_A_ROW - 1, F.lit(replicates))))).drop("_stride")
+
+
+def auroc_interval(counts: DataFrame, keys: list[str], p: str = "p", n: str = "n", name: str = "auroc", low: str = "ci_lo", high: str = "ci_hi", replicates: int = 500, seed: int = 7) -> DataFrame:
+    """``auroc`` with the 2.5 and 97.5 percentiles of its resamples (STA-02); all null if a side is empty.
+
+    Both sides are resampled by their counts per range of scores, so the work follows
+    cells, ranges and replicates, whatever the number of rows; within a range the
+    chance that a positive is higher stays that of the rows.
+    """
+    ranges = score_ranges(counts, keys, p, n)
+    total = lambda f: F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + f(x))
+    exact = ranges.select(*keys, F.try_divide(total(lambda x: 2 * x["p"] * x["start"] + x["twice"]), 2 * total(lambda x: x["p"]) * total(lambda x: x["n"])).alias(name))
+    named = [F.lit(str(seed)), *[F.col(k) for k in keys]]
+
+    def drawn(x: Column) -> Column:
+        at = [F.col("replicate"), x["r"]]
+        inside = F.coalesce(F.try_divide(x["twice"].cast("double"), x["p"] * x["n"]), F.lit(0.0))
+        return F.struct(resampled(x["p"], *named, F.lit("p"), *at).alias("p"), resampled(x["n"], *named, F.lit("n"), *at).alias("n"), inside.alias("inside"))
+
+    def add(s: Column, x: Column) -> Column:
+        return F.struct((s["p"] + x["p"]).alias("p"), (s["n"] + x["n"]).alias("n"), (s["u"] + x["p"] * (2.0 * s["n"] + x["n"] * x["inside"])).alias("u"))
+
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("p", "n", "u")])
+    value = F.aggregate(F.transform("ranges", drawn), zero, add, lambda s: F.try_divide(s["u"], 2.0 * s["p"] * s["n"]))
+    each = replicated(ranges, replicates).select(*keys, value.alias("v"))
+    bounds = each.groupBy(*keys).agg(F.percentile("v", F.lit(0.025)).alias(low), F.percentile("v", F.lit(0.975)).alias(high))
+    return exact.join(bounds, keys, "left")
+
+
 def rate_at(which: Column, score: Column, threshold: Column) -> Column:
     """Share of the scored rows of ``which`` at or above the threshold, as an aggregate (STA-03)."""
     return F.avg(F.when(which & score.isNotNull(), (score >= threshold).cast("double")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from calibrant.functions.stats import replicated, resampled
 from calibrant.functions.structure import hash_order
 from calibrant.operators.relational import first_n, quotas
 
@@ -64,6 +65,26 @@ def length_bins(positives: DataFrame, negatives: DataFrame, bins: int = 10) -> t
     return binned(pos), binned(neg)
 
 
+def lowest(df: DataFrame, keys: list[str], wanted: DataFrame, n: str, row: str, seed: int = 7) -> DataFrame:
+    """The rows of each key with the lowest hashes, as many as its ``n`` in ``wanted`` (a row per key).
+
+    Rows are counted by the first 16 bits of their hash, which tells the bits up to
+    which all rows are taken; only rows at that edge are ordered. No task orders a
+    whole key, however many rows it has.
+    """
+    own = df.withColumn("_lowest_h", hash_order(seed, F.col(row)))
+    own = own.withColumn("_lowest_b", F.conv(F.substring("_lowest_h", 1, 4), 16, 10).cast("int"))
+    rows = own.groupBy(*keys, "_lowest_b").agg(F.count("*").alias("_lowest_c"))
+    up_to = F.sum("_lowest_c").over(Window.partitionBy(*keys).orderBy("_lowest_b").rowsBetween(Window.unboundedPreceding, 0))  # 65,536 rows a key at most
+    # a key's whole steps; the next one is the edge, where what is still wanted is taken
+    steps = rows.select(*keys, "_lowest_b", up_to.alias("_lowest_t")).join(F.broadcast(wanted.select(*keys, F.col(n).alias("_lowest_w"))), keys)
+    whole = F.col("_lowest_t") <= F.col("_lowest_w")
+    edges = steps.groupBy(*keys).agg(F.coalesce(F.min(F.when(~whole, F.col("_lowest_b"))), F.lit(1 << 16)).alias("_lowest_edge"), (F.first("_lowest_w") - F.coalesce(F.max(F.when(whole, F.col("_lowest_t"))), F.lit(0))).alias("_lowest_left"))
+    placed = own.join(F.broadcast(edges), keys)  # a row per key
+    at = placed.where(F.col("_lowest_b") == F.col("_lowest_edge")).withColumn("_lowest_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_lowest_h", row)))
+    return placed.where(F.col("_lowest_b") < F.col("_lowest_edge")).select(*df.columns).unionByName(at.where(F.col("_lowest_n") <= F.col("_lowest_left")).select(*df.columns))
+
+
 def match_lengths(positives: DataFrame, negatives: DataFrame, bins: int = 10, row: str = "row_id", seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(matched negatives, report) (SMP-03).
 
@@ -73,10 +94,7 @@ def match_lengths(positives: DataFrame, negatives: DataFrame, bins: int = 10, ro
     pos, neg = length_bins(positives, negatives, bins)
     cell = ["genre", "stratum", "bin"]
     wanted = pos.groupBy(*cell).agg(F.count("*").alias("wanted"))
-    order = Window.partitionBy(*cell).orderBy(hash_order(seed, F.col(row)), row)
-    ranked = neg.withColumn("_n", F.row_number().over(order))
-    # a histogram has a row per bin, whatever the size of the corpus
-    matched = ranked.join(F.broadcast(wanted), cell).where(F.col("_n") <= F.col("wanted")).drop("_n", "wanted")
+    matched = lowest(neg, cell, wanted, "wanted", row, seed)
     pool = neg.groupBy(*cell).agg(F.count("*").alias("pool"))
     got = F.least(F.col("wanted"), F.coalesce("pool", F.lit(0)))
     report = wanted.join(pool, cell, "left").select(*cell, "wanted", got.alias("got")).where("got < wanted")
@@ -85,9 +103,7 @@ def match_lengths(positives: DataFrame, negatives: DataFrame, bins: int = 10, ro
 
 def quota_draw(pool: DataFrame, wanted: DataFrame, target: int, row: str, key: str = "language", seed: int = 7) -> DataFrame:
     """``target`` rows, by the shares of ``key`` in ``wanted``, topped up from the rest (SMP-04)."""
-    order = Window.partitionBy(key).orderBy(hash_order(seed, F.col(row)), row)
-    share = F.broadcast(quotas(wanted, key, target).select(key, "quota"))
-    picked = pool.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(order)).join(share, key).where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
+    picked = lowest(pool.where(F.col(key).isNotNull()), [key], quotas(wanted, key, target), "quota", row, seed)
     rest = pool.join(picked.select(row), row, "left_anti")
     both = picked.withColumn("_first", F.lit(0)).unionByName(rest.withColumn("_first", F.lit(1)))
     return both.orderBy("_first", hash_order(seed, F.col(row)), row).limit(target).drop("_first")
@@ -110,15 +126,11 @@ def grouped_folds(df: DataFrame, label: str, group: str, row: str, folds: int =
     return marked.join(sizes.select("_group", fold.alias("fold")), "_group").drop("_group")
 
 
-def bootstrap_draws(df: DataFrame, keys: list[str], row: str, replicates: int, seed: int = 7) -> DataFrame:
-    """Each row once per replicate that drew it, with ``replicate``; as many draws as rows per key (SMP-08).
+def bootstrap_counts(counts: DataFrame, keys: list[str], sums: list[str], replicates: int, seed: int = 7) -> DataFrame:
+    """(keys, replicate, sums): the rows of each key counted as often as a resample with replacement draws them (SMP-08).
 
-    Draw i of a replicate takes the row whose dense number is a hash modulo the
-    key's size, so every engine draws the same.
+    ``counts`` has a row per key, with how many rows stand for it in ``sums``; draws
+    are hashes, so every engine draws the same, and no row is numbered or shuffled.
     """
-    w = Window.partitionBy(*keys).orderBy(row)
-    numbered = df.withColumn("_k", F.row_number().over(w) - 1)
-    sizes = F.broadcast(df.groupBy(*keys).agg(F.count("*").alias("_size")))  # a row per key
-    slots = numbered.join(sizes, keys).select(*keys, "_size", F.col("_k").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    picked = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *keys, "replicate", "_slot")), 1, 8), 16, 10).cast("long") % F.col("_size")
-    return slots.select(*keys, "replicate", picked.cast("int").alias("_k")).join(numbered, [*keys, "_k"]).drop("_k")
+    names = [F.lit(str(seed)), *[F.col(k) for k in keys]]
+    return replicated(counts.select(*keys, *sums), replicates).select(*keys, "replicate", *[resampled(F.col(c), *names, F.lit(c), F.col("replicate")).alias(c) for c in sums])

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from calibrant.functions import stats as S
 from calibrant.operators.relational import average_rank, ordered_by  # noqa: F401
-from calibrant.operators.sampling import bootstrap_draws
 
 CELL = ["detector", "genre"]
 
@@ -17,16 +16,16 @@ def _count(which: Column) -> Column:
     return F.sum(F.when(which, 1).otherwise(0))
 
 
-def metrics(df: DataFrame) -> DataFrame:
-    """The 16-column table without its intervals: sizes, AUROC against both negatives, operating point, rates (STA-05)."""
+def metrics(df: DataFrame, replicates: int = 500, seed: int = 7) -> DataFrame:
+    """The 16-column table: sizes, AUROC against both negatives with its intervals, operating point, rates (STA-05)."""
     pos, n1 = S.is_positive(), S.is_matched()
     n2, n3 = F.col("set") == "N2", F.col("set") == "N3"
     known = df.where(F.col("genre").isNotNull())
     counts = S.score_counts(known, CELL, pos, n1, n1_all=F.col("set") == "N1", n2=n2, n3=n3)
     sizes = known.groupBy(*CELL).agg(_count(pos).alias("n_pos"), _count(n1).alias("n_neg")).where("n_pos > 0 AND n_neg > 0")
     point = S.operating_point(counts, CELL)
-    a1 = S.auroc(counts, CELL, "p", "n", "auroc_n1")
-    a2 = S.auroc(counts, CELL, "p", "n2", "auroc_n2")
+    a1 = S.auroc_interval(counts, CELL, "p", "n", "auroc_n1", "ci_lo", "ci_hi", replicates, seed)
+    a2 = S.auroc_interval(counts, CELL, "p", "n2", "auroc_n2", "ci_n2_lo", "ci_n2_hi", replicates, seed)
     # rates at the threshold come from the counts, not from the rows again
     at = counts.join(F.broadcast(point), CELL, "left")
     above = F.col("score") >= F.col("threshold")
@@ -36,19 +35,16 @@ def metrics(df: DataFrame) -> DataFrame:
 
     rates = at.groupBy(*CELL).agg(F.count(F.when(F.col("p") > 0, 1)).alias("distinct_scores"), F.when(F.max("threshold").isNotNull(), rate("n1_all")).alias("fpr_n1_unmatched"), F.when(F.max("threshold").isNotNull(), rate("n3")).alias("fpr_n3_bots"))
     out = sizes.join(rates, CELL, "left").join(a1, CELL, "left").join(a2, CELL, "left").join(point, CELL, "left")
-    return out.select(*CELL, "n_pos", "n_neg", "distinct_scores", "auroc_n1", "auroc_n2", "threshold", F.col("fpr").alias("fpr_achieved"), F.col("recall").alias("recall_at_fpr"), "fpr_n1_unmatched", "fpr_n3_bots")
+    return out.select(*CELL, "n_pos", "n_neg", "distinct_scores", "auroc_n1", "ci_lo", "ci_hi", "auroc_n2", "ci_n2_lo", "ci_n2_hi", "threshold", F.col("fpr").alias("fpr_achieved"), F.col("recall").alias("recall_at_fpr"), "fpr_n1_unmatched", "fpr_n3_bots")
 
 
-def bootstrap_interval(df: DataFrame, row: str = "row_id", replicates: int = 500, seed: int = 7) -> DataFrame:
-    """(detector, genre, ci_lo, ci_hi): 2.5 and 97.5 percentiles of AUROC over resamples of each side (STA-02)."""
-    sides = df.where(F.col("score").isNotNull() & (S.is_positive() | S.is_matched())).select(*CELL, "set", row, "score")
-    drawn = bootstrap_draws(sides, [*CELL, "set"], row, replicates, seed)
-    counts = S.score_counts(drawn, [*CELL, "replicate"], F.col("set") == "P", F.col("set") == "N1")
-    each = S.auroc(counts, [*CELL, "replicate"])
-    return each.groupBy(*CELL).agg(F.percentile("auroc", F.lit(0.025)).alias("ci_lo"), F.percentile("auroc", F.lit(0.975)).alias("ci_hi"))
+def bootstrap_interval(df: DataFrame, replicates: int = 500, seed: int = 7) -> DataFrame:
+    """(detector, genre, auroc, ci_lo, ci_hi) against matched negatives (STA-02)."""
+    counts = S.score_counts(df, CELL, S.is_positive(), S.is_matched())
+    return S.auroc_interval(counts, CELL, replicates=replicates, seed=seed)
 
 
-def by_length(df: DataFrame, bins: int = 5, cell_floor: int = 200, bin_floor: int = 50) -> DataFrame:
+def by_length(df: DataFrame, bins: int = 5, cell_floor: int = 200, bin_floor: int = 50, replicates: int = 500, seed: int = 7) -> DataFrame:
     """AUROC by quintile of the pooled lengths, (low, high], outer ones open (STA-06)."""
     used = df.where((S.is_positive() | S.is_matched()) & F.col("genre").isNotNull())
     cells = used.groupBy(*CELL).agg(_count(S.is_positive()).alias("np"), _count(S.is_matched()).alias("nn"), F.percentile("n_chars", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
@@ -56,13 +52,13 @@ def by_length(df: DataFrame, bins: int = 5, cell_floor: int = 200, bin_floor: in
     binned = used.join(cells, CELL).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("n_chars"))) + 1)
     keys = [*CELL, "bin"]
     sizes = binned.groupBy(*keys).agg(F.first("edges").alias("edges"), _count(S.is_positive()).alias("n_pos"), _count(S.is_matched()).alias("n_neg")).where((F.col("n_pos") >= bin_floor) & (F.col("n_neg") >= bin_floor))
-    a = S.auroc(S.score_counts(binned, keys, S.is_positive(), S.is_matched()), keys)
+    a = S.auroc_interval(S.score_counts(binned, keys, S.is_positive(), S.is_matched()), keys, replicates=replicates, seed=seed)
     low = F.when(F.col("bin") == 1, 0).otherwise(F.round(F.try_element_at("edges", F.col("bin") - 1), 6).cast("int"))
     high = F.when(F.col("bin") == bins, -1).otherwise(F.round(F.try_element_at("edges", F.col("bin")), 6).cast("int"))
-    return sizes.join(a, keys, "left").select(*keys, low.alias("chars_from"), high.alias("chars_to"), "n_pos", "auroc")
+    return sizes.join(a, keys, "left").select(*keys, low.alias("chars_from"), high.alias("chars_to"), "n_pos", "auroc", "ci_lo", "ci_hi")
 
 
-def by_agent(df: DataFrame, floor: int = 100, negatives: int = 200) -> DataFrame:
+def by_agent(df: DataFrame, floor: int = 100, negatives: int = 200, replicates: int = 500, seed: int = 7) -> DataFrame:
     """AUROC of each agent against the genre's matched negatives (STA-07)."""
     counts = S.score_counts(df, [*CELL, "agent"], S.is_positive() & F.col("agent").isNotNull(), S.is_matched())
     # the negatives are shared: their counts per score meet every agent's
@@ -74,16 +70,16 @@ def by_agent(df: DataFrame, floor: int = 100, negatives: int = 200) -> DataFrame
     merged = both.groupBy(*CELL, "agent", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     sizes = df.where(S.is_positive() & F.col("agent").isNotNull()).groupBy(*CELL, "agent").agg(F.count("*").alias("n_pos")).where(F.col("n_pos") >= floor)
     enough = df.where(S.is_matched()).groupBy(*CELL).agg(F.count("*").alias("k")).where(F.col("k") >= negatives).drop("k")
-    return sizes.join(enough, CELL, "left_semi").join(S.auroc(merged, [*CELL, "agent"]), [*CELL, "agent"], "left")
+    return sizes.join(enough, CELL, "left_semi").join(S.auroc_interval(merged, [*CELL, "agent"], replicates=replicates, seed=seed), [*CELL, "agent"], "left")
 
 
-def by_language(df: DataFrame, floor: int = 100, genre: str | None = "diff") -> DataFrame:
+def by_language(df: DataFrame, floor: int = 100, genre: str | None = "diff", replicates: int = 500, seed: int = 7) -> DataFrame:
     """AUROC per file extension, of diffs (STA-08)."""
     used = df.where(F.col("ext").isNotNull())
     used = used.where(F.col("genre") == genre) if genre else used
     keys = ["detector", "ext"]
     sizes = used.groupBy(*keys).agg(_count(S.is_positive()).alias("n_pos"), _count(S.is_matched()).alias("n_neg")).where((F.col("n_pos") >= floor) & (F.col("n_neg") >= floor))
-    return sizes.join(S.auroc(S.score_counts(used, keys, S.is_positive(), S.is_matched()), keys), keys, "left")
+    return sizes.join(S.auroc_interval(S.score_counts(used, keys, S.is_positive(), S.is_matched()), keys, replicates=replicates, seed=seed), keys, "left")
 
 
 def automation_gap(df: DataFrame, floor: int = 100, target: float = 0.05) -> DataFrame:

@@ -9,7 +9,7 @@ from calibrant.detectors import features as X
 from calibrant.detectors import judge, lm, registry, rules, supervised
 from calibrant.plans import views as V
 from calibrant.queries._registry import Registry
-from calibrant.sources.tables import table
+from calibrant.sources.tables import spread, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -29,7 +29,7 @@ _TEXTS = "(SELECT doc_id AS row_id, text AS t FROM documents UNION ALL SELECT -1
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("t"))
-    return docs.unionByName(table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("row_id"), F.col("html").alias("t")))
+    return spread(docs.unionByName(table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("row_id"), F.col("html").alias("t"))))
 
 
 @query(f"SELECT row_id, round(({_SUM}) / 13.0::DOUBLE, 9) AS score FROM {_TEXTS}")
@@ -94,13 +94,15 @@ def det_supervised_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def det_perturb(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    return lm.perturbations(docs, copies=4).groupBy("row_id").agg(F.min(F.length("text")).alias("least"), F.max(F.length("text")).alias("most"))
+    return lm.perturbations(docs).groupBy("row_id").agg(F.min(F.length("text")).alias("least"), F.max(F.length("text")).alias("most"))
 
 
-@query("SELECT doc_id AS row_id, CAST(doc_id AS VARCHAR) AS source_id, 'selfadmission' AS detector, 0.0::DOUBLE AS score FROM documents")
+@query("SELECT doc_id AS row_id, CAST(doc_id AS VARCHAR) AS source_id, 'selfadmission' AS detector, CASE WHEN text IS NULL THEN 0.0::DOUBLE WHEN doc_id % 7 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents")
 def det_registry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered detector over the documents, a seventh of which admit their origin."""
     registry.load_adapters()
     docs = V.documents(spark, sf_dir)
+    docs = docs.withColumn("text", F.concat("text", F.when(F.col("row_id") % 7 == 0, F.lit(" written by\nClaude")).otherwise(F.lit(""))))
     return registry.score_texts(docs, registry.get("selfadmission")).drop("version")
 
 
@@ -128,15 +130,9 @@ def lm_binoculars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("row_id", F.round(lm.binoculars(-F.col("logp") / n, -F.col("mu") / n), 6).alias("score"))
 
 
-@query(_LM_SQL + " SELECT row_id, round(CASE WHEN log_rank > 0 THEN (log_rank + n_tokens) / greatest(log_rank, 1e-6) END, 6) AS score FROM t")
-def lm_npr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NPR where every perturbed token costs one more: the formula, not a perturbation run."""
-    base = F.col("log_rank")
-    return _lm_stats(spark, sf_dir).select("row_id", F.round(lm.npr(base + F.col("n_tokens"), base), 6).alias("score"))
-
-
 @query()
-def lm_npr_perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lm_npr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log rank of 50 perturbed copies of every text over its own; draws have no SQL form (brute force in the tests)."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
     return lm.perturbed_npr(docs).select("row_id", F.round("score", 6).alias("score"))
 

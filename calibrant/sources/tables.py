@@ -16,6 +16,12 @@ def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores, if its files have fewer splits than there are cores; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet table cut to ``schema``, or an empty one where there is no such path (SRC-04)."""
     try:

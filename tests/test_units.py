@@ -1,7 +1,9 @@
 """Hand-made rows, property tests and plans of the engine."""
 
+import hashlib
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -169,11 +171,47 @@ def test_sampling(spark):
     for r in folds:
         assert r.repo is None or owner.setdefault(r.repo, r.fold) == r.fold
     assert {r.fold for r in folds} <= set(range(5)) and len(folds) == 300
-    drawn = sampling.bootstrap_draws(df, ["genre"], "row_id", 3).groupBy("genre", "replicate").count().collect()
-    assert {(r.genre, r["count"]) for r in drawn} == {("x", 200), ("y", 100)}
+    counts = df.groupBy("genre").agg(F.count("*").alias("n"), F.lit(1).alias("one"), F.lit(0).alias("none"))
+    drawn = sampling.bootstrap_counts(counts, ["genre"], ["n", "one", "none"], 2000).groupBy("genre").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("n", "one", "none") for f in (F.avg, F.var_samp)])
+    for r in drawn.collect():
+        size = {"x": 200, "y": 100}[r.genre]
+        assert abs(r.avg_n - size) < 1.5 and 0.85 < r.var_samp_n / size < 1.15 and r.avg_none == 0
+        assert abs(r.avg_one - 1) < 0.08 and 0.85 < r.var_samp_one < 1.15
     assert sampling.draw(df, 5, "row_id").collect() == sampling.draw(df.repartition(7), 5, "row_id").collect()
 
 
+def test_lowest_hashes(spark):
+    df = spark.createDataFrame([(i, "xyz"[i % 3], "k") for i in range(3000)], "row_id long, genre string, _n string")
+    wanted = spark.createDataFrame([("x", 10), ("y", 5000), ("z", 0)], "genre string, wanted long")
+    found = sampling.lowest(df, ["genre"], wanted, "wanted", "row_id")
+    order = lambda i: hashlib.md5(f"7|{i}".encode()).hexdigest()
+    expected = sorted(range(0, 3000, 3), key=order)[:10] + list(range(1, 3000, 3))
+    assert sorted(r.row_id for r in found.collect()) == sorted(expected) and found.columns == df.columns
+    # no whole key is ordered: the only windows are over counts of hash steps and over the rows at the edge
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1
+
+
+def test_intervals_match_row_bootstrap(spark):
+    draw = np.random.default_rng(5)
+    sides = {"P": draw.normal(0.4, 1, 180), "N1": draw.normal(0, 1, 260)}
+    df = spark.createDataFrame([("d", "g", s, True, float(x)) for s, xs in sides.items() for x in xs], "detector string, genre string, set string, matched boolean, score double")
+    got = validity.bootstrap_interval(df).first()
+
+    def area(p, n):
+        return float((p[:, None] > n[None]).mean() + (p[:, None] == n[None]).mean() / 2)
+
+    again = [area(draw.choice(sides["P"], 180), draw.choice(sides["N1"], 260)) for _ in range(1500)]
+    assert abs(got.auroc - area(sides["P"], sides["N1"])) < 1e-12
+    assert abs(got.ci_lo - np.percentile(again, 2.5)) < 0.012 and abs(got.ci_hi - np.percentile(again, 97.5)) < 0.012
+    j = correction.interval(df).first()
+    assert j.j_lo < j.j_hi
+    cut = np.sort(sides["N1"])[::-1]
+    threshold = min(x for x in np.concatenate(list(sides.values())) if (cut >= x).mean() <= 0.05)
+    js = [(draw.choice(sides["P"], 180) >= threshold).mean() - (draw.choice(sides["N1"], 260) >= threshold).mean() for _ in range(1500)]
+    assert abs(j.j_lo - np.percentile(js, 2.5)) < 0.02 and abs(j.j_hi - np.percentile(js, 97.5)) < 0.02
+
+
 def test_report(spark):
     metric = spark.createDataFrame([("a", "g", 0.5), ("a", "h", 0.75)], "detector string, genre string, auroc double")
     assert "0.750" in report.latex_table(metric, "auroc", ["g", "h"], "c", "l")

@@ -130,7 +130,7 @@ DIGIT_WORDS = ["Zero", "One", "Two", "Three", "Four", "Five", "Six", "Seven", "E
 
 def macro_name(x: Column) -> Column:
     """CamelCase with digits as words, letters only (STR-23)."""
-    words = F.transform(F.split(x, r"[^A-Za-z0-9]+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000)))
+    words = F.transform(F.split(x, r"[^A-Za-z0-9]+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
     return reduce(lambda c, i: F.replace(c, F.lit(str(i)), F.lit(DIGIT_WORDS[i])), range(10), F.array_join(words, ""))
 
 
@@ -144,7 +144,7 @@ def short_iri(x: Column, prefixes: dict[str, str]) -> Column:
     """The name of an IRI with its prefix (STR-25)."""
     out = x
     for short, long in prefixes.items():
-        out = F.when(x.startswith(long), F.concat(F.lit(short + ":"), F.substring(x, len(long) + 1, 10_000))).otherwise(out)
+        out = F.when(x.startswith(long), F.concat(F.lit(short + ":"), F.substr(x, F.lit(len(long) + 1)))).otherwise(out)
     return out
 
 

@@ -112,18 +112,25 @@ def quota_draw(pool: DataFrame, wanted: DataFrame, target: int, row: str, key: s
 def grouped_folds(df: DataFrame, label: str, group: str, row: str, folds: int = 5, seed: int = 7) -> DataFrame:
     """Append ``fold``: whole groups to one fold; rows without a group are groups of their own (SMP-09).
 
-    The fold is a hash of the group, its majority class and the magnitude of its
-    size: groups of like class and size are spread evenly over the folds, which
-    keeps class shares near without gathering or ordering the groups.
+    Groups of like size (by powers of two) and like share of ones (by tenths) are a
+    stratum, whose groups are dealt out to the folds in turn, in the order of their
+    hashes: folds have equally many groups of a stratum, to one. Groups are counted
+    by the first 16 bits of the hash, so no task orders a whole stratum.
     """
     name = F.when(F.coalesce(F.col(group).cast("string"), F.lit("")) == "", F.concat(F.lit("row:"), F.col(row))).otherwise(F.concat(F.lit("repo:"), F.col(group)))
     marked = df.withColumn("_group", name)
-    sizes = marked.groupBy("_group").agg(F.count("*").alias("_size"), F.sum(F.col(label).cast("int")).alias("_ones"))
-    major = (2 * F.col("_ones") >= F.col("_size")).cast("int")
-    large = F.least(F.floor(F.log2("_size")), F.lit(30)).cast("int")
-    # groups of like size and class have independent hashes: their folds are equally likely
-    fold = F.pmod(F.xxhash64(F.lit(seed), major, large, "_group"), F.lit(folds)).cast("int")
-    return marked.join(sizes.select("_group", fold.alias("fold")), "_group").drop("_group")
+    ones = F.coalesce(F.sum(F.col(label).cast("int")), F.lit(0))
+    sizes = marked.groupBy("_group").agg(F.count("*").alias("_size"), ones.alias("_ones"))
+    stratum = [F.length(F.bin("_size")).alias("_large"), F.expr("10 * _ones div _size").alias("_share")]
+    own = sizes.select("_group", *stratum, hash_order(seed, F.col("_group")).alias("_h"))
+    own = own.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    step = ["_large", "_share", "_b"]
+    before = F.sum("_c").over(Window.partitionBy("_large", "_share").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # 65,536 rows a stratum at most
+    earlier = own.groupBy(*step).agg(F.count("*").alias("_c")).select(*step, F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*step).orderBy("_h", "_group"))
+    fold = F.pmod(place + F.col("_large") + F.col("_share"), F.lit(folds)).cast("int")
+    dealt = own.join(earlier, step).select("_group", fold.alias("fold"))
+    return marked.join(dealt, "_group").drop("_group")
 
 
 def bootstrap_counts(counts: DataFrame, keys: list[str], sums: list[str], replicates: int, seed: int = 7) -> DataFrame:

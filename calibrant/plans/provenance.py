@@ -124,7 +124,7 @@ def uninformative(graph: DataFrame, most: float = 0.05) -> DataFrame:
 def agreement(graph: DataFrame) -> DataFrame:
     """Q5: declared artifacts of each tool, and how many a detector flagged too."""
     claims = _claims(graph)
-    tools = _edge(graph, "claimsAgent", "claim", "agent").join(F.broadcast(_edge(graph, "tool", "agent", "tool")), "agent")
+    tools = _edge(graph, "claimsAgent", "claim", "agent").join(_edge(graph, "tool", "agent", "tool"), "agent")
     declared = claims.join(_typed(graph, "AgentAccountEvidence", "evidence"), "evidence", "left_semi").join(tools, "claim").select("tool", "artifact")
     detected = claims.join(_typed(graph, "DetectorEvidence", "evidence"), "evidence", "left_semi").select("artifact", F.col("artifact").alias("also")).distinct()
     return declared.join(detected, "artifact", "left").groupBy("tool").agg(F.count_distinct("artifact").alias("declared"), F.count_distinct("also").alias("also_flagged"))

@@ -73,7 +73,10 @@ def smp_quota_topup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.quota_draw(docs.where(~first).select("doc_id", "language"), docs.where(first), 60, "doc_id")
 
 
-@query()
+@query(f"""WITH {V.SQL_CONVERSATIONS}, g AS (SELECT *, CASE WHEN coalesce(repo, '') = '' THEN 'row:' || CAST(row_id AS VARCHAR) ELSE 'repo:' || repo END AS grp, CASE WHEN "set" = 'P' THEN 1 ELSE 0 END AS y FROM c_conv),
+    z AS (SELECT grp, length(bin(count(*))) AS large, CAST((10 * sum(y)) // count(*) AS BIGINT) AS share FROM g GROUP BY 1),
+    f AS (SELECT grp, (row_number() OVER (PARTITION BY large, share ORDER BY md5('7|' || grp), grp) + large + share) % 5 AS fold FROM z)
+    SELECT row_id, repo, y, CAST(fold AS INTEGER) AS fold FROM g JOIN f USING (grp)""")
 def smp_grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = V.conversations(spark, sf_dir).withColumn("y", (F.col("set") == "P").cast("int"))
     return S.grouped_folds(turns, "y", "repo", "row_id").select("row_id", "repo", "y", "fold")

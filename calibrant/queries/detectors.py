@@ -9,6 +9,7 @@ from calibrant.detectors import features as X
 from calibrant.detectors import judge, lm, registry, rules, supervised
 from calibrant.plans import views as V
 from calibrant.queries._registry import Registry
+from calibrant.sources.sinks import cache_key
 from calibrant.sources.tables import spread, table
 
 query = Registry()
@@ -97,13 +98,16 @@ def det_perturb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.perturbations(docs).groupBy("row_id").agg(F.min(F.length("text")).alias("least"), F.max(F.length("text")).alias("most"))
 
 
-@query("SELECT doc_id AS row_id, CAST(doc_id AS VARCHAR) AS source_id, 'selfadmission' AS detector, CASE WHEN text IS NULL THEN 0.0::DOUBLE WHEN doc_id % 7 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents")
+@query(f"""WITH d AS (SELECT doc_id AS row_id, CAST(doc_id AS VARCHAR) AS source_id, coalesce(text || CASE WHEN doc_id % 7 = 0 THEN ' written by' || chr(10) || 'Claude' ELSE '' END, '') AS t FROM documents)
+    SELECT row_id, source_id, 'heuristics' AS detector, round(({_SUM}) / 13.0::DOUBLE, 9) AS score FROM d
+    UNION ALL SELECT row_id, source_id, 'selfadmission', CASE WHEN regexp_matches(t, '(?i){rules.MENTION}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM d""")
 def det_registry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A registered detector over the documents, a seventh of which admit their origin."""
+    """Two registered detectors over the documents, a seventh of which admit their origin."""
     registry.load_adapters()
     docs = V.documents(spark, sf_dir)
     docs = docs.withColumn("text", F.concat("text", F.when(F.col("row_id") % 7 == 0, F.lit(" written by\nClaude")).otherwise(F.lit(""))))
-    return registry.score_texts(docs, registry.get("selfadmission")).drop("version")
+    both = [registry.score_texts(docs, registry.get(name)) for name in ("heuristics", "selfadmission")]
+    return both[0].unionByName(both[1]).drop("version").withColumn("score", F.round("score", 9))
 
 
 _LM_SQL = """WITH words AS (SELECT doc_id AS row_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
@@ -142,7 +146,20 @@ def _lm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.token_stats(lm.tokens(docs))
 
 
-@query(f"SELECT row_id, CAST(round(100 * ({_SUM}) / 13.0::DOUBLE) AS INTEGER) / 100.0::DOUBLE AS score FROM (SELECT doc_id AS row_id, text AS t FROM documents)")
+def _judge_answer(asked: str) -> str:
+    """An offline transport: a number from the length of the question, now and then a refusal."""
+    return "I would rather not say." if len(asked) % 10 == 0 else f"Score: {len(asked) % 101}"
+
+
+_ASKED = len(judge.TEMPLATE.replace("{genre}", "text").replace("{text}", ""))
+
+
+@query(f"""SELECT row_id, CASE WHEN cached THEN 0.1::DOUBLE WHEN n % 10 = 0 THEN NULL ELSE (n % 101) / 100.0::DOUBLE END AS score
+    FROM (SELECT doc_id AS row_id, coalesce(text, '') IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 2 = 0) AS cached, {_ASKED} + least(length(coalesce(text, '')), 6000) AS n FROM documents)""")
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    return docs.select("row_id", judge.first_score(judge.stub_answer(F.col("text"))).alias("score"))
+    """Answers from a cache, which holds those to every second document, and of a transport for the others."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
+    key = cache_key("stub", judge.TEMPLATE, F.col("text"))
+    cache = docs.where("row_id % 2 = 0").select(key.alias("key"), F.substring(key, 1, 2).alias("shard"), F.lit("Score: 10").alias("raw")).distinct()
+    scored, _ = judge.judged(docs, cache, _judge_answer, "stub")
+    return scored.select("row_id", "score")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,13 +83,12 @@ def kg_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, version, value FROM (SELECT user_id, event_id AS version, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1""")
 def stm_resume_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream, landed once and merged by user."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{folder}/upsert-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    folder = f"{resume.shared_folder(spark)}/upsert-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     source = stream.select("user_id", F.col("event_id").alias("version"), "value")
     resume.land(source, f"{folder}/log", resume.upsert_into(spark, f"{folder}/table", ["user_id"], "version"))
-    return spark.read.parquet(f"{folder}/table/0")
+    return resume.latest(spark, f"{folder}/table")
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(avg(CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END), 9) AS rate FROM events GROUP BY 1, 2""")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -47,28 +50,34 @@ def commits(logs: DataFrame, repo: str = "repo", raw: str = "raw") -> DataFrame:
 def patches(raw: Column) -> Column:
     """array<struct<filename, patch>> of a diff: hunk lines only, per file (UDTF-02)."""
     header = r"(?d)^diff --git a/(.+?) b/(.+)$"
-    line_type = "array<struct<filename:string,lines:array<string>>>"
-    empty = F.array().cast(line_type)
 
     def hunk(line: Column) -> Column:
         start = line.startswith("@@") | line.startswith("+") | line.startswith("-") | line.startswith(" ")
         return start & ~line.startswith("+++") & ~line.startswith("---")
 
-    def step(done: Column, line: Column) -> Column:
-        n = F.size(done)
-        fresh = F.array(F.struct(F.regexp_extract(line, header, 2).alias("filename"), F.array().cast("array<string>").alias("lines")))
-        last = F.element_at(done, -1)
-        grown = F.array(F.struct(last["filename"].alias("filename"), F.concat(last["lines"], F.array(line)).alias("lines")))
-        return F.when(line.rlike(header), F.concat(done, fresh)).when((n > 0) & hunk(line), F.concat(F.slice(done, 1, n - 1), grown)).otherwise(done)
+    def by_file(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(header), i)), lambda i: i.isNotNull())
 
-    files = F.aggregate(X.split_lines(raw), empty, step)
+        def cut(at: Column) -> Column:
+            until = lambda k: F.coalesce(F.get(at, k + 1), F.size(lines))
+            own = lambda i, k: F.filter(F.slice(lines, i + 2, until(k) - i - 1), hunk)
+            return F.transform(at, lambda i, k: F.struct(F.regexp_extract(F.get(lines, i), header, 2).alias("filename"), own(i, k).alias("lines")))
+
+        return once(heads, cut)
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of a value that is computed a single time, however often it is used."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    files = once(X.split_lines(raw), by_file)
     named = F.transform(files, lambda f: F.struct(f["filename"].alias("filename"), X.strip(F.array_join(f["lines"], "\n")).alias("patch")))
     return F.filter(named, lambda f: (f["patch"] != "") & (f["filename"] != ""))
 
 
 def diffs(shows: DataFrame, repo: str = "repo", raw: str = "raw", most: int = MAX_DIFF_CHARS) -> DataFrame:
     """One row per file and commit of ``show`` output; excluded paths and odd lengths go (SRC-12, FLT-03)."""
-    chunk = shows.select(F.col(repo).alias("repo"), F.explode(F.slice(F.split(raw, "__COMMIT__"), 2, 1_000_000)).alias("chunk"))
+    parts = F.split(raw, "__COMMIT__")
+    chunk = shows.select(F.col(repo).alias("repo"), F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("chunk"))
     sha = X.strip(F.substring_index("chunk", "\n", 1))
     each = chunk.select("repo", sha.alias("sha"), F.explode(patches(F.expr("substr(chunk, length(substring_index(chunk, '\n', 1)) + 2)"))).alias("p"))
     rows = each.select("repo", "sha", F.concat_ws(":", "sha", "p.filename").alias("source_id"), F.col("p.filename").alias("filename"), X.suffix(F.col("p.filename")).alias("ext"), F.col("p.patch").alias("text"))
@@ -80,13 +89,14 @@ class RateLimit:
     """One pause for all callers: after a refusal nobody asks before it is over (STM-05)."""
 
     def __init__(self, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.clock, self.sleep, self.resume = clock, sleep, 0.0
+        self.clock, self.sleep, self.resume, self.lock = clock, sleep, 0.0, threading.Lock()
 
     def pause(self, seconds: float) -> None:
-        self.resume = max(self.resume, self.clock() + seconds)
+        with self.lock:
+            self.resume = max(self.resume, self.clock() + seconds)
 
     def wait(self) -> None:
-        if (left := self.resume - self.clock()) > 0:
+        while (left := self.resume - self.clock()) > 0:
             self.sleep(left)
 
 
@@ -106,11 +116,17 @@ def fetch(get: Callable[[str, int], tuple[int, Any, dict]], path: str, page: int
     return None, "gave up"
 
 
+class FailedPage(Exception):
+    """A page that could not be had."""
+
+
 def paged(get: Callable[[str, int], tuple[int, Any, dict]], path: str, cutoff: str, limit: RateLimit, most_pages: int = 50, size: int = 100) -> Iterator[dict]:
-    """Items of an ascending listing up to the cut-off, a short page or ``most_pages`` (SRC-07, STM-02)."""
+    """Items of an ascending listing up to the cut-off, a short page or ``most_pages`` (SRC-07, STM-02); a page that fails is an error."""
     for page in range(1, most_pages + 1):
         body, error = fetch(get, path, page, limit)
-        if error or not body:
+        if error:
+            raise FailedPage(f"page {page}: {error}")
+        if not body:
             return
         for item in body:
             if item.get("created_at", "") >= cutoff:
@@ -120,18 +136,35 @@ def paged(get: Callable[[str, int], tuple[int, Any, dict]], path: str, cutoff: s
             return
 
 
-def collect(repos: DataFrame, get: Callable[[str, int], tuple[int, Any, dict]], cutoff: str, column: str = "repo") -> DataFrame:
-    """Items of every repository as JSON, collected where the rows are (SRC-07, SRC-09)."""
-    import json
+def collect(repos: DataFrame, get: Callable[[str, int], tuple[int, Any, dict]], cutoff: str, column: str = "repo", callers: int = 8) -> DataFrame:
+    """(repo, item, error): items of every repository as JSON (SRC-07, SRC-09).
 
-    import pandas as pd
+    A repository whose listing fails has the items before the failure, and a last
+    row with the error and no item. The service's quota is one for all callers, so
+    one task asks, with ``callers`` threads that share one pause (STM-05).
+    """
+    import pyarrow as pa
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = RateLimit()
-        for frame in frames:
-            for repo in frame[column]:
-                rows = [json.dumps(x) for x in paged(get, repo, cutoff, limit)]
-                yield pd.DataFrame({"repo": [repo] * len(rows), "item": rows})
+
+        def one(repo: str) -> pa.RecordBatch:
+            items: list[str | None] = []
+            error = None
+            try:
+                for x in paged(get, repo, cutoff, limit):
+                    items.append(json.dumps(x))
+            except FailedPage as failure:
+                error = str(failure)
+            errors = [None] * len(items) + ([error] if error else [])
+            items += [None] if error else []
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in ([repo] * len(items), items, errors)], ["repo", "item", "error"])
+
+        with ThreadPoolExecutor(callers) as pool:
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                for k in range(0, len(names), callers):
+                    yield from pool.map(one, names[k : k + callers])
 
     ship(repos.sparkSession)
-    return repos.select(column).distinct().mapInPandas(run, "repo string, item string")
+    return repos.select(column).distinct().repartition(1).mapInArrow(run, "repo string, item string, error string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,24 @@ def upsert_into(spark: SparkSession, folder: str, keys: list[str], version: str)
     return write
 
 
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The last generation that was wholly written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files_of = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files_of.listStatus(path(folder))]
+    whole = [int(n) for n in names if n.isdigit() and files_of.exists(path(f"{folder}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{folder}/{max(whole)}")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all nodes share; a folder of this machine only where all work is on it."""
+    if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+    return tempfile.mkdtemp(prefix="stream-")
+
+
 def flag_rates(events: DataFrame, threshold: float, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Share of values at or above a threshold per kind and tumbling window; works on streams and tables alike."""
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

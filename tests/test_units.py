@@ -17,6 +17,7 @@ from calibrant.operators import relational as R
 from calibrant.operators import sampling
 from calibrant.plans import correction, report, validity
 from calibrant.sources import history, sinks, tables
+from calibrant.streaming import resume
 
 
 def one(spark, value, column):
@@ -128,12 +129,14 @@ def test_registry(spark):
 def test_judge_cache(spark):
     texts = spark.createDataFrame([(1, "say 80"), (2, "refuse"), (3, "say 80")], "row_id long, text string")
     cache = spark.createDataFrame([], "key string, shard string, raw string")
-    scored, fresh = judge.judged(texts, cache, lambda t: "80" if "80" in t else "no", "m")
+    scored, fresh = judge.judged(texts, cache, lambda t: "80" if "say 80" in t and t.startswith("How likely") else "no", "m", most_missing=0.5)
     assert fresh.count() == 2
     assert {r.row_id: r.score for r in scored.collect()} == {1: 0.8, 2: None, 3: 0.8}
-    again, none = judge.judged(texts, fresh, lambda t: 1 / 0, "m")
+    again, none = judge.judged(texts, fresh, lambda t: 1 / 0, "m", most_missing=0.5)
     assert none.count() == 0 and again.where("score = 0.8").count() == 2
     assert not judge.enough_answers(scored)
+    with pytest.raises(ValueError, match="answers are missing"):
+        judge.judged(texts, cache, lambda t: "no", "m")
 
 
 def test_collector():
@@ -143,6 +146,34 @@ def test_collector():
     got = list(history.paged(lambda path, page: next(answers), "/x", "2023", limit, size=2))
     assert [x["created_at"] for x in got] == ["2020", "2021", "2022"] and clock[0] >= 5
     assert history.fetch(lambda path, page: (404, None, {}), "/x", 1, limit) == (None, "http 404")
+    with pytest.raises(history.FailedPage, match="http 404"):
+        list(history.paged(lambda path, page: (404, None, {}), "/x", "2023", limit))
+
+
+def test_collection_keeps_failures(spark):
+    answers = {("a", 1): (200, [{"created_at": "2020"}] * 100, {}), ("a", 2): (404, None, {}), ("b", 1): (200, [{"created_at": "2021"}], {})}
+    repos = spark.createDataFrame([("a",), ("b",), ("c",), ("b",)], "repo string")
+    rows = history.collect(repos, lambda path, page: answers.get((path, page), (200, [], {})), "2023").collect()
+    assert sorted((r.repo, r.error) for r in rows if r.item is None) == [("a", "page 2: http 404")]
+    assert sorted(r.repo for r in rows if r.item) == ["a"] * 100 + ["b"]
+
+
+def test_patches_by_file(spark):
+    raw = "+before\r\ndiff --git a/x b/x\r\n@@ 1\n+one\n+++ b/x\x85 kept\ndiff --git a/e b/e\nindex\ndiff --git a/y b/z w\n-two"
+    rows = spark.createDataFrame([(1, raw), (2, None), (3, ""), (4, "no diff")], "k int, raw string").select("k", history.patches(F.col("raw")).alias("p")).collect()
+    found = {r.k: r.p and [tuple(x) for x in r.p] for r in rows}
+    assert found == {1: [("x", "@@ 1\n+one\n kept"), ("z w", "-two")], 2: None, 3: [], 4: []}
+    shows = spark.createDataFrame([("r", "__COMMIT__".join(["", *[f"s{i}\ndiff --git a/f b/f\n+line number {i}" for i in range(50)]]))], "repo string, raw string")
+    assert history.diffs(shows).select("sha").distinct().count() == 50
+
+
+def test_generations(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(1, k), (10 + k, k)], "id int, version int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = resume.files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, per_batch=1)
+    resume.land(source, str(tmp_path / "log"), resume.upsert_into(spark, str(tmp_path / "table"), ["id"], "version"))
+    assert (tmp_path / "table" / "2").exists()
+    assert sorted(map(tuple, resume.latest(spark, str(tmp_path / "table")).select("id", "version").collect())) == [(1, 2), (10, 0), (11, 1), (12, 2)]
 
 
 def test_sources(spark, tmp_path):
@@ -171,6 +202,8 @@ def test_sampling(spark):
     for r in folds:
         assert r.repo is None or owner.setdefault(r.repo, r.fold) == r.fold
     assert {r.fold for r in folds} <= set(range(5)) and len(folds) == 300
+    lone = [(r.y, r.fold) for r in sampling.grouped_folds(df.withColumn("repo", F.lit("")), "y", "repo", "row_id").collect()]
+    assert all(lone.count((y, k)) == 30 for y in (0, 1) for k in range(5))
     counts = df.groupBy("genre").agg(F.count("*").alias("n"), F.lit(1).alias("one"), F.lit(0).alias("none"))
     drawn = sampling.bootstrap_counts(counts, ["genre"], ["n", "one", "none"], 2000).groupBy("genre").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("n", "one", "none") for f in (F.avg, F.var_samp)])
     for r in drawn.collect():

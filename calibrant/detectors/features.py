@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions import text as X
 from calibrant.functions.structure import population_std
 
+#: White space in a class of characters: Unicode's, and the four information separators.
+SPACES = r"\s\x1c-\x1f\x{85}"
 #: Patterns that are counted.
 CONVENTIONAL = r"^(feat|fix|chore|docs|refactor|test|perf|build|ci|style|revert)(\([^)]+\))?!?:\s"
 COUNTED = {
@@ -36,26 +38,37 @@ def count(text: Column, name: str) -> Column:
     return F.regexp_count(text, F.lit(f"(?{flags}){pattern}" if flags else pattern))
 
 
-def features(text: Column) -> dict[str, Column]:
-    """name -> double column; null counts as empty."""
-    t = F.coalesce(text, F.lit(""))
-    lines = F.split(t, "\n", -1)
-    lengths = F.transform(lines, lambda x: F.length(x).cast("double"))
-    n = F.size(lines)
-    full = F.filter(lines, lambda x: X.strip(x) != "")
-    n_full = F.size(full)
-    indents = F.transform(full, lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f\x{85}]+", "")))
+def with_features(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` and the features of a text as doubles, null counting as empty.
+
+    Lines, their lengths and indents are columns of their own first, so that each is
+    computed once however many features use it.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    split = df.select(*keep, t.alias("_t"), F.split(t, "\n", -1).alias("_lines"))
+    lengths = F.transform("_lines", lambda x: F.length(x).cast("double"))
+    full = F.filter("_lines", lambda x: x.rlike(rf"(?U)[^{SPACES}]"))
+    split = split.select(*keep, "_t", "_lines", lengths.alias("_lengths"), full.alias("_full"))
+    indents = F.transform("_full", lambda x: F.length(F.regexp_extract(x, rf"(?U)^[{SPACES}]+", 0)))
+    split = split.select(*keep, "_t", "_lines", "_lengths", indents.alias("_indents"))
+    return split.select(*keep, *[c.alias(n) for n, c in _features().items()])
+
+
+def _features() -> dict[str, Column]:
+    """name -> double column over the columns that ``with_features`` prepares."""
+    t, lines, lengths, indents = (F.col(c) for c in ("_t", "_lines", "_lengths", "_indents"))
+    n, n_full = F.size(lines), F.size(indents)
     total = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x)
     found = {
         "n_chars": F.length(t),
-        "n_words": F.size(F.filter(F.split(t, r"(?U)[\s\x1c-\x1f\x{85}]+"), lambda w: w != "")),
+        "n_words": F.regexp_count(t, F.lit(rf"(?U)[^{SPACES}]+")),
         "n_lines": n,
         "mean_line_len": total / n,
         "max_line_len": F.array_max(lengths),
         "std_line_len": population_std(lengths),
         "multiline": (n > 1).cast("int"),
         "blank_line_ratio": (n - n_full) / n,
-        "trailing_ws_ratio": F.size(F.filter(lines, lambda x: x != X.rstrip(x))) / n,
+        "trailing_ws_ratio": F.size(F.filter(lines, lambda x: x.rlike(rf"(?U)[{SPACES}]\z"))) / n,
         "indent_ratio": F.size(F.filter(indents, lambda i: i > 0)) / F.greatest(n_full, F.lit(1)),
         "mean_indent": F.aggregate(indents, F.lit(0.0), lambda a, i: a + i) / F.greatest(n_full, F.lit(1)),
         "upper_ratio": X.char_ratio(t, r"\p{Lu}"),

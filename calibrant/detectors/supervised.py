@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.detectors.features import FEATURES, features
+from calibrant.detectors.features import FEATURES, with_features
 from calibrant.operators.relational import keep_first
 from calibrant.operators.sampling import grouped_folds
 
@@ -25,7 +25,7 @@ def out_of_fold(corpus: DataFrame, folds: int = 5, floor: int = 100, trees: int
     used = corpus.where((F.col("set") == "P") | ((F.col("set") == "N1") & F.col("matched").eqNullSafe(True)))
     used = used.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("y", (F.col("set") == "P").cast("int"))
     single = keep_first(used, ["genre", "key"], "row_id")
-    data = single.select("genre", "key", "repo", "row_id", "y", *[c.alias(n) for n, c in features(F.col("text")).items()])
+    data = with_features(single, ["genre", "key", "repo", "row_id", "y"])
     data = grouped_folds(data, "y", "repo", "row_id", folds, seed).persist()
     sizes = {(r.genre, r.y): r.n for r in data.groupBy("genre", "y").agg(F.count("*").alias("n")).collect()}  # a row per genre and class
     parts = []

@@ -83,7 +83,7 @@ _FEATURES_SQL = {
 
 @query(f"SELECT row_id, {', '.join(f'round(CAST({_FEATURES_SQL[n]} AS DOUBLE), 6) AS {n}' for n in X.FEATURES)} FROM {_TEXTS}")
 def det_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).select("row_id", *[F.round(c, 6).alias(n) for n, c in X.features(F.col("t")).items()])
+    return X.with_features(_texts(spark, sf_dir), ["row_id"], "t").select("row_id", *[F.round(n, 6).alias(n) for n in X.FEATURES])
 
 
 @query()

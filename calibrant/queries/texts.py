@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from calibrant.functions import structure as T
 from calibrant.functions import text as X
@@ -11,6 +14,7 @@ from calibrant.plans import report
 from calibrant.queries._registry import Registry
 from calibrant.sources import history, sinks, tables
 from calibrant.sources.tables import table
+from calibrant.streaming.resume import shared_folder
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -185,6 +189,41 @@ def src_progress_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.progress_rows(tables.progress(lines.unionByName(broken))).select("repo", F.col("row")["turn"].alias("turn"), F.col("row")["role"].alias("role"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT conv_id * 1000 + turn AS row_id, 'long' AS detector, CASE WHEN length(text) >= 20 THEN CAST(length(text) AS DOUBLE) END AS score FROM conversations
+    UNION ALL SELECT conv_id * 1000 + turn, 'short', -CAST(length(text) AS DOUBLE) FROM conversations""")
+def src_scores_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two detectors, one of which is written again, read as one table; what is no number is null."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.length("text").cast("double").alias("n"))
+    long = turns.select("row_id", F.lit("long").alias("detector"), F.when(F.col("n") >= 20, F.col("n")).otherwise(float("nan")).alias("score"))
+    short = turns.select("row_id", F.lit("short").alias("detector"), (-F.col("n")).alias("score"))
+    folder = _folder(spark, "scores")
+    for scores in (short.withColumn("score", F.lit(0.0)), long, short):
+        sinks.write_scores(scores, folder)
+    return tables.scores(spark, folder)
+
+
+@query("SELECT r_regionkey, r_name, CAST(NULL AS VARCHAR) AS absent FROM region")
+def src_optional_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that lacks a column, and one that is not there."""
+    known = table(spark, sf_dir, "region", ["r_regionkey", "r_name"]).schema
+    schema = types.StructType([*known.fields, types.StructField("absent", types.StringType())])
+    return tables.optional(spark, f"{sf_dir}/region.parquet", schema).unionByName(tables.optional(spark, f"{sf_dir}/no_such_table.parquet", schema))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def snk_resume_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the rows are written, then those that are left to do."""
+    nation = table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    folder = _folder(spark, "nation")
+    sinks.overwrite(nation.where("n_nationkey < 12"), folder)
+    sinks.append(sinks.todo(nation, spark.read.parquet(folder), "n_nationkey"), folder)
+    return spark.read.parquet(folder)
+
+
 @query("""SELECT 'nation/' || CAST(n_nationkey AS VARCHAR) AS s, 'name' AS p, n_name AS o, 'string' AS o_type FROM nation UNION ALL SELECT 'nation/' || CAST(n_nationkey AS VARCHAR), 'region', 'region/' || CAST(n_regionkey AS VARCHAR), 'iri' FROM nation""")
 def src_triples_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")

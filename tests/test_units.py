@@ -1,7 +1,9 @@
 """Hand-made rows, property tests and plans of the engine."""
 
 import hashlib
+import os
 import re
+import subprocess
 
 import numpy as np
 import pytest
@@ -15,8 +17,8 @@ from calibrant.functions import text as X
 from calibrant.functions.structure import edges
 from calibrant.operators import relational as R
 from calibrant.operators import sampling
-from calibrant.plans import correction, report, validity
-from calibrant.sources import history, sinks, tables
+from calibrant.plans import correction, figures, report, validity
+from calibrant.sources import clones, history, sinks, tables
 from calibrant.streaming import resume
 
 
@@ -304,3 +306,54 @@ def test_perturbed_npr(spark):
     assert got.keys() == texts.keys() and got[3] is None and got[4] is None
     for i in (1, 2, 5):
         assert len(copied[i]) == 6 and got[i] == pytest.approx(sum(copied[i]) / 6 / mean(texts[i])) and got[i] != pytest.approx(1)
+
+
+def test_clones(spark, tmp_path):
+    def git(*args, **dates):
+        names = {"GIT_AUTHOR_NAME": "A B", "GIT_AUTHOR_EMAIL": "a@b.c", "GIT_COMMITTER_NAME": "C", "GIT_COMMITTER_EMAIL": "c@d.e", "HOME": str(tmp_path)}
+        subprocess.run(["git", "-C", str(tmp_path / "r"), *args], check=True, capture_output=True, env={**os.environ, **names, **dates})
+
+    for name in ("r", "empty"):
+        subprocess.run(["git", "init", "--quiet", str(tmp_path / name)], check=True)
+    git("config", "uploadpack.allowFilter", "true")
+    git("config", "uploadpack.allowAnySHA1InWant", "true")
+    for k, day in enumerate(("2020-01-01", "2021-01-01", "2023-01-01")):
+        (tmp_path / "r" / "f.py").write_text("".join(f"line number {i}\n" for i in range(k + 2)))
+        git("add", "f.py")
+        git("commit", "--quiet", "-m", f"Change {k}\n\nWhy it is so: é \x01", GIT_AUTHOR_DATE=f"{day}T00:00:00Z", GIT_COMMITTER_DATE=f"{day}T00:00:00Z")
+    repos = spark.createDataFrame([("r",), ("r",), ("empty",), ("absent",), (None,)], "repo string")
+    address = lambda repo: f"file://{tmp_path}/{repo}"
+    logs = clones.logs(repos, address, "2022-01-01", 10, callers=2, tries=2).cache()
+    assert [(r.repo, r.raw, "clone: " in r.error) for r in logs.where("error IS NOT NULL").collect()] == [("absent", None, True)]
+    found = history.commits(logs.where("raw IS NOT NULL")).orderBy("committed_at").collect()
+    assert [(r.repo, r.author, r.text.split("\n")[0], r.is_merge) for r in found] == [("r", "A B <a@b.c>", f"Change {k}", False) for k in (0, 1)]
+    assert clones.logs(repos.where("repo = 'r'"), address, "2022-01-01", 1).count() == 1
+    wanted = spark.createDataFrame([(r.repo, r.sha) for r in found] + [("r", "--output=x"), ("r", "0" * 40)], "repo string, sha string")
+    bad = clones.shows(wanted, address).where("error IS NOT NULL")
+    assert bad.count() == 1
+    raw = clones.shows(wanted.where(F.col("sha") != "0" * 40), address)
+    assert {(r.sha, r.filename, r.text.split("\n")[-1]) for r in history.diffs(raw.where("raw IS NOT NULL")).collect()} == {(found[0].sha, "f.py", "+line number 1"), (found[1].sha, "f.py", "+line number 2")}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", max_size=9), max_size=12), st.integers(1, 7), st.integers(1, 12), st.booleans())
+def test_clone_rows(parts, block, size, ends):
+    text = "".join(p + "|" if ends else "|" + p for p in parts)
+    rows = list(clones._rows((text[i : i + block] for i in range(0, len(text), block)), "|", ends, size))
+    assert "".join(rows) == text and all(r.endswith("|") if ends else r.startswith("|") for r in rows)
+
+
+def test_figures(spark, tmp_path):
+    cells = [("a(b)", "g", 0.5), ("a(b)", "h", 0.75), ("ü", "g", 0.9), ("none", "g", None), ("nan", "g", float("nan")), ("far", "g", 7.0)]
+    metric = spark.createDataFrame(cells, "detector string, genre string, auroc double")
+    assert {tuple(r) for r in figures.ranges(metric, "auroc").collect()} == {("a(b)", 0.5, 0.75, 0.625), ("ü", 0.9, 0.9, 0.9), ("far", 7.0, 7.0, 7.0)}
+    assert figures.dot_plot(metric, "auroc", str(tmp_path / "dots.pdf")) == 3
+    means = spark.createDataFrame([("a", 0.1, 0.4), ("b", None, 0.2), ("c", 0.3, None)], "detector string, human double, bots double")
+    assert figures.paired_bars(means, "human", "bots", str(tmp_path / "bars.pdf")) == 3
+    assert figures.dot_plot(metric.where("false"), "auroc", str(tmp_path / "none.pdf")) == figures.paired_bars(means.where("false"), "human", "bots", str(tmp_path / "no_bars.pdf")) == 0
+    dots, bars = (tmp_path / "dots.pdf").read_bytes(), (tmp_path / "bars.pdf").read_bytes()
+    assert dots.count(b" 1 J 6 w ") == 4 and rb"(a\(b\))" in dots and bars.count(b" re f") == 4
+    for pdf in (dots, bars):
+        at = int(re.search(rb"startxref\n(\d+)", pdf)[1])
+        starts = [int(x) for x in re.findall(rb"(\d{10}) 00000 n ", pdf[at:])]
+        assert pdf[at : at + 4] == b"xref" and all(pdf[x:].startswith(b"%d 0 obj" % k) for k, x in enumerate(starts, 1))

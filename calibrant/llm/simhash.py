@@ -247,19 +247,27 @@ def linked(group: np.ndarray, lanes: list[np.ndarray], radius: int, side: np.nda
 
 
 def dealt(keyed: DataFrame, part: int) -> DataFrame:
-    """``keyed`` (key, node, ..) with ``pair`` and ``side``: rows of a key with more than ``part`` rows once for each pair of its parts."""
+    """``keyed`` (key, node, ..) with ``pair`` and ``side``: rows of a key with more than ``part`` rows once for each pair of its parts.
+
+    With a column ``settled``, such rows of a key are known to belong together: their
+    parts are paired with those of the key's other rows only, and a large key without others goes.
+    """
+    known = F.col("settled") if "settled" in keyed.columns else F.lit(False)
+    sizes = keyed.groupBy("key").agg(F.count_if(~known).alias("n"), F.count_if(known).alias("m")).where(F.col("n") + F.col("m") > part)
     # at most rows / part keys are large
-    large = keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part).select("key", F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    large = keep(sizes.select("key", F.ceil(F.col("n") / part).alias("open"), F.ceil(F.col("m") / part).alias("shut")))
     n_large = large.count()
     if not n_large:
-        return keyed.select("*", F.lit(0).alias("pair"), F.lit(None).cast("int").alias("side"))
-    parts = F.coalesce("parts", F.lit(1))
-    placed = keyed.join(F.broadcast(large) if n_large <= BROADCAST_KEYS else large, "key", "left").withColumn("parts", parts)
-    placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    copies = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        return keyed.select("*", F.lit(0).cast("long").alias("pair"), F.lit(None).cast("int").alias("side"))
+    placed = keyed.join(F.broadcast(large) if n_large <= BROADCAST_KEYS else large, "key", "left").where("open IS NULL OR open > 0")
+    placed = placed.select(*keyed.columns, F.coalesce("open", F.lit(1)).alias("open"), F.coalesce("shut", F.lit(0)).alias("shut"))
+    spot = F.xxhash64("node")
+    mine = F.when(known, F.col("open") + F.pmod(spot, F.greatest("shut", F.lit(1)))).otherwise(F.pmod(spot, F.col("open")))
+    placed = placed.withColumn("mine", mine).withColumn("last", F.when(known, F.col("open")).otherwise(F.col("open") + F.col("shut")) - 1)
+    copies = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") != F.col("other"), (F.col("mine") > F.col("other")).cast("int"))
-    return copies.select(*keyed.columns, (low * F.col("parts") + high).cast("int").alias("pair"), side.alias("side"))
+    return copies.select(*keyed.columns, (low * (F.col("open") + F.col("shut")) + high).alias("pair"), side.alias("side"))
 
 
 def links(prints: DataFrame, masks: list[list[int]] | None, radius: int, part: int = PART) -> DataFrame:
@@ -429,13 +437,52 @@ def similar(sets: list[np.ndarray], similarity: float, side: np.ndarray | None =
     return forest(n, *np.nonzero(np.triu(near, 1)), parent)
 
 
+def centers(chosen: DataFrame, part: int = TEXTS) -> DataFrame:
+    """(key, center, parts) of each key of ``chosen`` (key, node, fp0) with more than ``part`` nodes.
+
+    The center is the node nearest to the fingerprint of the key's majority, bit by
+    bit: in a group of edited copies of one text that is the text, or a copy little
+    changed. ``parts`` of about ``part`` nodes make up the key.
+    """
+    large = keep(chosen.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part))
+    n_large = large.count()
+    own = chosen.join(F.broadcast(large) if n_large <= BROADCAST_KEYS else large, "key")
+    bits = [F.sum(F.shiftright("fp0", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(64)]
+    counted = own.groupBy("key", "n").agg(*bits)
+    majority = F.lit(0).cast("long")
+    for b in range(64):
+        majority = majority.bitwiseOR(F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long")).otherwise(0))
+    middle = counted.select("key", majority.alias("middle"))
+    placed = own.join(F.broadcast(middle) if n_large <= BROADCAST_KEYS else middle, "key")
+    far = F.bit_count(F.col("fp0").bitwiseXOR(F.col("middle")))
+    return keep(placed.groupBy("key", "n").agg(F.min_by("node", F.struct(far, "node")).alias("center")).select("key", "center", F.ceil(F.col("n") / part).alias("parts")))
+
+
+def starred(members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes of ``members`` (key, node, center, parts, text) of one part of a key, to which its center comes too.
+
+    A node that the center reaches inside the part is linked to it. A key's texts are dealt
+    out over its parts: no task gathers a large key, and work is in proportion to its texts.
+    """
+    lead = F.col("node") == F.col("center")
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    spots = F.when(lead, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(part))
+    placed = members.select("key", F.explode(spots).alias("pair"), F.lit(None).cast("int").alias("side"), (~lead).alias("late"), "node", "text")
+    return _compared(placed, words, similarity)
+
+
 def verified(members: DataFrame, words: int, similarity: float, part: int = TEXTS) -> DataFrame:
     """Links (a, b) between nodes of one key of ``members`` (key, node, text) whose shingle sets have that Jaccard similarity.
 
-    All pairs of a key are compared; of the links, a spanning forest per task is handed on.
+    All pairs of a key are compared, but for those of ``settled`` nodes (if there is
+    that column) of a key with more than ``part``; of the links, a spanning forest per task is handed on.
     """
-    small_batches(members.sparkSession)
-    names = ["key", "pair", "side", "node", "text"]
+    return _compared(dealt(members, part).withColumn("late", F.lit(False)), words, similarity)
+
+
+def _compared(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """A spanning forest of the links in each key and pair of ``rows`` (key, pair, side, late, node, text); a tree's root is its first row, the late ones last."""
+    small_batches(rows.sparkSession)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
@@ -466,15 +513,32 @@ def verified(members: DataFrame, words: int, similarity: float, part: int = TEXT
         if len(nodes) > 1:
             yield found()
 
-    ordered = dealt(members, part).select(*names).repartition("key", "pair").sortWithinPartitions("key", "pair", "side", "node")
+    ordered = rows.select("key", "pair", "side", "node", "text", "late").repartition("key", "pair").sortWithinPartitions("key", "pair", "side", "late", "node")
     return ordered.mapInArrow(compare, "a long, b long")
 
 
+def settle(chosen: DataFrame, texts: DataFrame, words: int, similarity: float, part: int = TEXTS) -> tuple[DataFrame, DataFrame]:
+    """(links, ``chosen`` with ``settled``): the nodes of keys with more than ``part`` that their center reaches inside their part."""
+    middle = centers(chosen, part)
+    n_large = middle.count()
+    middle = F.broadcast(middle) if n_large <= BROADCAST_KEYS else middle
+    if not n_large:
+        none = chosen.sparkSession.createDataFrame([], "a long, b long")
+        return none, chosen.withColumn("settled", F.lit(False))
+    large = texts.join(chosen.join(middle, "key"), ["k1", "k2"])
+    found = keep(starred(large, words, similarity))
+    heart = middle.select(F.col("center").alias("node"))
+    near = found.join(heart.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("node")).unionByName(heart).withColumn("settled", F.lit(True))
+    return found, chosen.join(near, "node", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+
+
 def unique(df: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates by shingles of ``words``: that with the lowest id.
 
     Texts are linked if the Jaccard similarity of their shingle sets is
-    ``similarity`` or more: every pair in a group of candidates is checked.
+    ``similarity`` or more: every pair in a group of candidates is checked. A group
+    of over ``TEXTS`` is first compared in parts to which its center comes too; what the
+    center reaches there is one group whatever other links it has, so only the rest meets all others.
     Candidates share a key and have fingerprints within ``wide_radius``; at
     0.8 a lone pair fails to with a chance of 0.0001. Texts without words form one
     group; of rows with equal id (or null, which counts as highest) and text one
@@ -491,9 +555,11 @@ def unique(df: DataFrame, doc: str = "doc_id", text: str = "text", words: int =
     lanes = [f"fp{k}" for k in range(WIDE_LANES)]
     distinct = keep(wide.groupBy("node").agg(F.min_by(F.struct(*lanes, "keys", "k1", "k2"), F.struct("k1", "k2")).alias("w")).select("node", "w.*"))
     candidates = components(links(distinct.select("node", *lanes, "keys"), None, radius))
-    chosen = keep(distinct.select("node", "k1", "k2").join(candidates.withColumnRenamed("root", "key"), "node"))
-    members = marked.select("k1", "k2", "text").join(chosen, ["k1", "k2"]).select("key", "node", "text")
-    roots = components(verified(members, words, similarity))
+    chosen = keep(distinct.select("node", "k1", "k2", "fp0").join(candidates.withColumnRenamed("root", "key"), "node"))
+    texts = marked.select("k1", "k2", "text")
+    found, left = settle(chosen, texts, words, similarity)
+    members = texts.join(left, ["k1", "k2"]).select("key", "node", "settled", "text")
+    roots = components(verified(members, words, similarity).unionByName(found))
     named = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "k1", "k2")).alias("w")).select("w.k1", "w.k2")
     kept = marked.drop("doc", "text").join(keep(first), ["k1", "k2"], "left_semi")

@@ -219,6 +219,33 @@ def test_verified_links(spark, part):
     assert [roots.get(i, i) for i in range(len(texts))] == low
 
 
+@pytest.mark.parametrize("part", [3, 8, 512])
+def test_settled_links(spark, part):
+    """Large groups: parts with the center first, then only what it does not reach there; the same groups as by all pairs."""
+    draw = random.Random(part)
+    base = [words(draw, 120) for _ in range(3)]
+    texts = [base[0], *[edited(draw, base[0] if i < 25 else base[1 + i % 2], draw.randrange(1, 5)) for i in range(40)]]
+    tight = [base[2], *[edited(draw, base[2], 1) for _ in range(20)]]
+    rows = [(7, i, t) for i, t in enumerate(dict.fromkeys(texts))] + [(8, 100 + i, t) for i, t in enumerate(dict.fromkeys(tight))] + [(9, 200, "one"), (9, 201, "two")]
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, i, t in rows}
+    low = {i: i for i in sets}
+    key = {i: k for k, i, _ in rows}
+    for _ in rows:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if key[i] == key[j] and len(a & b) >= 0.8 * len(a | b):
+                    low[i] = low[j] = min(low[i], low[j])
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for _, _, t in rows]
+    chosen = spark.createDataFrame([(k, i, i, -i, p - (1 << 64) if p >> 63 else p) for (k, i, _), p in zip(rows, prints, strict=True)], "key long, node long, k1 long, k2 long, fp0 long")
+    held = spark.createDataFrame([(i, -i, t) for _, i, t in rows], "k1 long, k2 long, text string")
+    found, left = simhash.settle(chosen, held, 5, 0.8, part)
+    members = held.join(left, ["k1", "k2"]).select("key", "node", "settled", "text")
+    roots = {r.node: r.root for r in components.components(simhash.verified(members, 5, 0.8, part).unionByName(found)).collect()}
+    assert {i: roots.get(i, i) for i in sets} == low
+    # a group that its center holds together is done with after the parts
+    assert simhash.dealt(members.drop("text"), part).where("key = 8").count() == (0 if part < 20 else len(dict.fromkeys(tight)))
+
+
 # passages
 
 

@@ -34,6 +34,8 @@ from calibrant.llm.components import components
 PART = 4096
 #: Large keys up to which their table is broadcast.
 BROADCAST_KEYS = 100_000
+#: Nodes of large groups up to which their list (six numbers each) is broadcast to pick their texts.
+BROADCAST_NODES = 200_000
 SEED = 42
 _U = np.uint64
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -525,7 +527,8 @@ def settle(chosen: DataFrame, texts: DataFrame, words: int, similarity: float, p
     if not n_large:
         none = chosen.sparkSession.createDataFrame([], "a long, b long")
         return none, chosen.withColumn("settled", F.lit(False))
-    large = texts.join(chosen.join(middle, "key"), ["k1", "k2"])
+    picked = keep(chosen.join(middle, "key").select("k1", "k2", "key", "node", "center", "parts"))
+    large = texts.join(F.broadcast(picked) if picked.count() <= BROADCAST_NODES else picked, ["k1", "k2"])
     found = keep(starred(large, words, similarity))
     heart = middle.select(F.col("center").alias("node"))
     near = found.join(heart.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("node")).unionByName(heart).withColumn("settled", F.lit(True))

@@ -14,6 +14,13 @@ def utc(stamp: Column) -> Column:
     return F.try_to_timestamp(stamp)
 
 
+def iso_seconds(at: Column) -> Column:
+    """ISO text of an instant to the second; years outside 0 to 9999 as plain numbers, without the plus sign of ``date_format``."""
+    year = F.year(at)
+    shown = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    return F.concat(shown, F.date_format(at, "-MM-dd'T'HH:mm:ss"))
+
+
 def before_cutoff(cutoff: str, *stamps: Column) -> Column:
     """Every stamp is there and earlier (FLT-08, DAT-02, STM-03); a null one means false."""
     out = F.lit(True)

@@ -17,10 +17,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from calibrant.detectors import blocks
+
 ALPHA = 0.5
 #: White space as Spark's patterns have it: the copies' pairs must be those of the model.
+_WORDS = re.compile(rb"[^\t\n\f\r ]+")
 _PIECES = re.compile(r"[ \t\n\x0b\f\r]+|[^ \t\n\x0b\f\r]+")
 
 
@@ -66,6 +70,35 @@ def token_stats(stream: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return joined.groupBy("row_id").agg(F.sum(k * F.col("logp")).alias("logp"), F.sum(k * F.col("mu")).alias("mu"), F.sum(k * F.col("var")).alias("var"), F.sum(k * F.log("rank")).alias("log_rank"), F.sum(k).alias("n_tokens"))
 
 
+def cut_words(value: str | None) -> list[bytes]:
+    """Lower-cased words as DuckDB has them: case is changed letter by letter, and \\x0b is no white space."""
+    value = value or ""
+    if not value.isascii():
+        value = value.replace("\u0130", "i").replace("\u03a3", "\u03c3")
+    lower = value.lower().encode("utf-8", "surrogatepass")
+    return _WORDS.findall(lower) if b"\x0b" in lower else lower.split()
+
+
+def text_stats(corpus: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
+    """``token_stats`` of ``corpus``, by blocks of texts: no row per word is shuffled."""
+    own = corpus.select("row_id", text)
+    kind = own.schema["row_id"].dataType
+    v = blocks.words(own, cut_words)
+    arrow = to_arrow_type(kind)
+
+    def told(rows: list, kept: list[np.ndarray], values: list[np.ndarray]) -> pa.Table:
+        sizes, total, _, mu, var, n, rank = values
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        lengths, places = kept[0].astype(np.int64), blocks.from_planes(kept[1:])
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        full = np.flatnonzero(lengths)
+        each = {"logp": np.log((n + alpha) / (total + alpha * v)[of]), "mu": mu[of], "var": var[of], "log_rank": np.log(rank)}
+        sums = {k: np.bincount(doc, x[places], len(lengths))[full] for k, x in each.items()}
+        return pa.table({"row_id": pa.array([rows[i] for i in full.tolist()], arrow), **sums, "n_tokens": lengths[full]})
+
+    return blocks.looked_up(own, cut_words, v, alpha, told, f"row_id {kind.simpleString()}, logp double, mu double, var double, log_rank double, n_tokens long")
+
+
 def curvature(logp: Column, mu: Column, var: Column) -> Column:
     """(sum log p - sum of means) over the root of the summed variances, which is at least 1e-6 (DET-05)."""
     return (logp - mu) / F.sqrt(F.greatest(var, F.lit(1e-6)))

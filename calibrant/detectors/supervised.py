@@ -17,6 +17,10 @@ from calibrant.operators.relational import keep_first
 from calibrant.operators.sampling import grouped_folds
 
 
+#: Texts of a task of the boosting: a small task's start takes longer than its work.
+ROWS = 100_000
+
+
 def out_of_fold(corpus: DataFrame, folds: int = 5, floor: int = 100, trees: int = 100, depth: int = 6, seed: int = 7, at_once: int = 5) -> DataFrame:
     """(row_id, score) of every corpus row; null where no model could be fitted.
 
@@ -29,8 +33,11 @@ def out_of_fold(corpus: DataFrame, folds: int = 5, floor: int = 100, trees: int
     used = used.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("y", (F.col("set") == "P").cast("int"))
     single = keep_first(used, ["genre", "key"], "row_id")
     data = with_features(single, ["genre", "key", "repo", "row_id", "y"])
-    data = grouped_folds(data, "y", "repo", "row_id", folds, seed).persist()
+    data = grouped_folds(data, "y", "repo", "row_id", folds, seed).checkpoint()  # else every tree's stages carry the whole plan
     sizes = {(r.genre, r.y): r.n for r in data.groupBy("genre", "y").agg(F.count("*").alias("n")).collect()}  # a row per genre and class
+    # boosting runs some seven stages a tree: as few tasks as have about ROWS texts each
+    parts = max(1, -(-sum(sizes.values()) // ROWS))
+    data = (data.coalesce(parts) if parts < data.rdd.getNumPartitions() else data).persist()
 
     def fitted(job: tuple[str, int]) -> DataFrame | None:
         genre, k = job

@@ -69,3 +69,21 @@ def test_likelihood_by_blocks(spark, tmp_path, name):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert len(same(spark, tmp_path, name, {"documents": docs})) == len(texts) - 3
     assert "Generate" not in entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boosting_in_few_tasks(spark, tmp_path, monkeypatch):
+    """Each tree's stages read a checkpoint of as few tasks as the texts need, not the whole plan."""
+    from calibrant.detectors import supervised
+
+    seen = []
+
+    def fit(self, learn):
+        seen.append((learn.rdd.getNumPartitions(), learn._jdf.queryExecution().executedPlan().toString().count("Window")))
+        raise InterruptedError
+
+    monkeypatch.setattr(supervised.GBTClassifier, "fit", fit)
+    rows = [(i, f"text {i} " * (i % 5), "P" if i % 2 else "N1", True, "g", f"r{i % 20}") for i in range(200)]
+    corpus = spark.createDataFrame(rows, "row_id long, text string, set string, matched boolean, genre string, repo string").repartition(4)
+    with pytest.raises(InterruptedError):
+        supervised.out_of_fold(corpus, floor=20)
+    assert seen and set(seen) == {(1, 0)}

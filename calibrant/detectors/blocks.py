@@ -28,12 +28,23 @@ WORDS = 2_500_000
 Cut = Callable[[str | None], list[bytes]]
 
 
+def squeezed(value: bytes) -> bytes:
+    return len(value).to_bytes(8, "little") + pa.compress(value, "zstd", asbytes=True)
+
+
+def unsqueezed(value: bytes) -> bytes:
+    return pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
-    return pickle.dumps([(a.dtype.str, a.tobytes()) for a in arrays], protocol=5)
+    """Arrays by their first bytes, second bytes and so on, compressed."""
+    planes = [(a.dtype.str, np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for a in arrays]
+    return squeezed(pickle.dumps(planes, protocol=5))
 
 
 def unpacked(value: bytes) -> list[np.ndarray]:
-    return [np.frombuffer(b, t) for t, b in pickle.loads(value)]
+    kinds = [(np.dtype(t), b) for t, b in pickle.loads(unsqueezed(value))]
+    return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(t.itemsize, -1).T).view(t).reshape(-1) for t, b in kinds]
 
 
 class Block:

@@ -7,20 +7,19 @@ its context table grows with the corpus and is joined, never collected.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from calibrant.detectors import blocks
+from calibrant.detectors import blocks, spaced
+from calibrant.shipping import ship
 
 ALPHA = 0.5
 #: White space as Spark's patterns have it: the copies' pairs must be those of the model.
@@ -129,8 +128,8 @@ def perturbed_pairs(corpus: DataFrame, copies: int = 50, text: str = "text") ->
         for batch in batches:
             for row, value in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 weights: dict[tuple[str, str], float] = {}
-                for index in range(copies):
-                    pieces = _PIECES.findall(perturbed(value, index, copies).lower())
+                for copy in perturbed(value, copies):
+                    pieces = _PIECES.findall(copy.lower())
                     for pair, n in Counter(zip(["", *pieces], pieces, strict=False)).items():
                         weights[pair] = weights.get(pair, 0.0) + n / len(pieces)
                 if weights:
@@ -149,6 +148,13 @@ def perturbed_npr(corpus: DataFrame, copies: int = 50, text: str = "text") -> Da
     tokens, as that is all that the perturbations add. Tied tokens have the best of
     their ranks: an unseen one comes after all seen ones, in an unseen context all are first.
     """
+    told = spaced.log_ranks(corpus.select("row_id", text), copies)
+    told = joined_log_ranks(corpus, copies, text) if told is None else told
+    return told.select("row_id", npr(F.col("perturbed") / copies, F.col("base")).alias("score"))
+
+
+def joined_log_ranks(corpus: DataFrame, copies: int = 50, text: str = "text") -> DataFrame:
+    """``spaced.log_ranks`` by joins, a row per pair: for corpora with more different runs of white space than its table may have."""
     own = spaced_pairs(corpus, text)
     pairs, _ = bigram_model(own)
     ranks = pairs.select("prev", "token", "rank")
@@ -161,21 +167,17 @@ def perturbed_npr(corpus: DataFrame, copies: int = 50, text: str = "text") -> Da
         return joined.groupBy("row_id").agg(F.sum(F.col("w") * F.log(rank)).alias(name))
 
     perturbed = mean(perturbed_pairs(corpus, copies, text), "perturbed")
-    scored = corpus.select("row_id").join(mean(own, "base"), "row_id", "left").join(perturbed, "row_id", "left")
-    return scored.select("row_id", npr(F.col("perturbed") / copies, F.col("base")).alias("score"))
+    return corpus.select("row_id").join(mean(own, "base"), "row_id", "left").join(perturbed, "row_id", "left")
 
 
-def perturbed(value: str, index: int, copies: int, share: float = 0.5, spaces: int = 2) -> str:
-    """Copy ``index`` of a text."""
-    seed = int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "big")
-    draw = np.random.default_rng([seed, index])
-    mark = " " if index < copies // 2 else "\n"
-    pieces = value.split(mark)
-    chosen = draw.choice(len(pieces), int(len(pieces) * share), replace=False)
-    extra = draw.poisson(spaces, len(chosen)) + 1 if mark == " " else np.ones(len(chosen), int)
-    for i, n in zip(chosen.tolist(), extra.tolist(), strict=True):
-        pieces[i] += mark * n
-    return mark.join(pieces)
+def perturbed(value: str, copies: int, share: float = 0.5, spaces: int = 2) -> Iterator[str]:
+    """The copies of a text, in order; all draws come from one source, seeded by the text."""
+    draw = spaced.source(value)
+    for mark, some in ((" ", copies // 2), ("\n", copies - copies // 2)):
+        pieces = value.split(mark)
+        for rows in spaced.extras(draw, ord(mark), some, len(pieces), share, spaces):
+            for row in rows.tolist():
+                yield mark.join([p + mark * n for p, n in zip(pieces, row, strict=True)])
 
 
 def perturbations(corpus: DataFrame, copies: int = 50, share: float = 0.5, spaces: int = 2, text: str = "text") -> DataFrame:
@@ -184,9 +186,24 @@ def perturbations(corpus: DataFrame, copies: int = 50, share: float = 0.5, space
     Draws depend on the text and the copy's number alone.
     """
 
-    @F.pandas_udf("string")
-    def perturb(texts: pd.Series, indexes: pd.Series) -> pd.Series:
-        return pd.Series([perturbed(t or "", int(i), copies, share, spaces) for t, i in zip(texts, indexes, strict=True)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = ([], [], []), 0
+            for row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for index, copy in enumerate(perturbed(value, copies, share, spaces)):
+                    for held, x in zip(rows, (row, index, copy), strict=True):
+                        held.append(x)
+                    size += len(copy)
+                    if size > 4_000_000:
+                        yield told(rows)
+                        rows, size = ([], [], []), 0
+            if rows[0]:
+                yield told(rows)
+
+    def told(rows: tuple[list, list, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (arrow, pa.int32(), pa.string()), strict=True)], ["row_id", "copy", "text"])
 
-    each = corpus.select("row_id", F.coalesce(F.col(text), F.lit("")).alias("text"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-    return each.select("row_id", "copy", perturb("text", "copy").alias("text"))
+    own = corpus.select("row_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    arrow = to_arrow_type(own.schema["row_id"].dataType)
+    ship(corpus.sparkSession)
+    return own.mapInArrow(run, f"row_id {own.schema['row_id'].dataType.simpleString()}, copy int, text string")

@@ -87,3 +87,26 @@ def test_boosting_in_few_tasks(spark, tmp_path, monkeypatch):
     with pytest.raises(InterruptedError):
         supervised.out_of_fold(corpus, floor=20)
     assert seen and set(seen) == {(1, 0)}
+
+
+def test_perturbed_by_blocks(spark, tmp_path, monkeypatch):
+    """Runs of white space of every kind: as by joins, but without a row per pair; and by joins if there are too many different runs."""
+    import random
+
+    from calibrant.detectors import lm, spaced
+
+    rng = random.Random(2)
+    bits = ["a", "b", "É", "ΑΣ", " ", " ", "  ", "\n", "\n", "\t", "c ", "d  e", "\x0b", " \n ", "İ "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(120)] + [None, "", " ", "\n\n", "   a", "abc", "z\n", " \t "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string").repartition(3)
+    found, joined = ({r.row_id: (r.base, r.perturbed) for r in f(docs, 7).collect()} for f in (spaced.log_ranks, lm.joined_log_ranks))
+    assert found.keys() == joined.keys() and len(found) == len(texts) and found[len(texts) - 7] == (None, None)
+    assert all(found[k] == pytest.approx(joined[k], rel=1e-9) for k in found if None not in found[k])
+    assert [k for k in found if None in found[k]] == [k for k in found if None in joined[k]]
+    docs.withColumnRenamed("row_id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = entry.queries()["lm_npr"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    scores = {r.row_id: r.score for r in lm.perturbed_npr(docs, 7).collect()}
+    monkeypatch.setattr(spaced, "RUNS", 3)
+    assert spaced.log_ranks(docs, 7) is None
+    assert {r.row_id: r.score for r in lm.perturbed_npr(docs, 7).collect()} == pytest.approx(scores, nan_ok=True)

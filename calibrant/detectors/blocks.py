@@ -51,14 +51,13 @@ class Block:
     """Some texts: their rows, numbers of words, words by number, and the different words; number 0 is the empty one."""
 
     def __init__(self, name: str) -> None:
-        self.name, self.rows, self.values, self.parts, self.size = name, [], [], [], 0
+        self.name, self.rows, self.parts, self.size = name, [], [], 0
         self.table: dict[bytes, int] = defaultdict()
         self.table.default_factory = self.table.__len__
         self.table[b""]
 
-    def add(self, row, value: str | None, words: list[bytes]) -> None:
+    def add(self, row, words: list[bytes]) -> None:
         self.rows.append(row)
-        self.values.append(value)
         self.parts.append(np.fromiter(map(self.table.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
@@ -111,13 +110,13 @@ def _from48(values: np.ndarray) -> np.ndarray:
     return wide.view(np.uint64).reshape(-1)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], cut: Cut, values: bool = False) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], cut: Cut) -> Iterator[Block]:
     """Blocks of the (row, text) batches of a task, named by it and their number."""
     task = TaskContext.get().partitionId()
     number, block = 0, Block(f"{task}.0")
     for batch in batches:
         for row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            block.add(row, value if values else None, cut(value))
+            block.add(row, cut(value))
             if block.size >= WORDS:
                 yield block
                 number += 1
@@ -137,8 +136,8 @@ def words(corpus: DataFrame, cut: Cut) -> int:
     return corpus.mapInArrow(run, "h long").distinct().count()
 
 
-def ranked(blobs: list[list[np.ndarray]], v: int, alpha: float) -> Iterator[bytes]:
-    """For each block's packed list: sizes of the contexts, their totals, different followers, means and variances; counts and ranks of the pairs."""
+def ranked(blobs: list[list[np.ndarray]], v: int, alpha: float, ranks: bool = True) -> Iterator[bytes]:
+    """For each block's packed list: sizes of the contexts, their totals, means and variances; counts and, if asked for, ranks of the pairs."""
     context = np.concatenate([np.repeat(h, m) for h, m, _, _ in blobs])
     token = np.concatenate([_from48(t) for _, _, t, _ in blobs])
     counts = np.concatenate([c for *_, c in blobs]).astype(np.int64)
@@ -165,14 +164,13 @@ def ranked(blobs: list[list[np.ndarray]], v: int, alpha: float) -> Iterator[byte
     for h, m, _, c in blobs:
         own, ours = np.searchsorted(names, h), pair[low : low + len(c)]
         low += len(c)
-        yield packed(m, total[own], seen[own].astype(np.uint32), mu[own], var[own], n[ours].astype(np.uint32), rank[ours].astype(np.uint32))
+        yield packed(m, total[own], mu[own], var[own], n[ours].astype(np.uint32), *[rank[ours].astype(np.uint32)] * ranks)
 
 
-def looked_up(corpus: DataFrame, cut: Cut, v: int, alpha: float, told: Callable, schema: str, listed: Callable | None = None) -> DataFrame:
-    """``told(rows, kept, values)`` of every block: ``kept`` is what ``listed(block, places)`` keeps of its texts, ``values`` the joined
-    arrays of ``ranked``; the corpus is (row, text) and read twice, in the same splits."""
+def looked_up(corpus: DataFrame, cut: Cut, v: int, alpha: float, told: Callable, schema: str, ranks: bool = True) -> DataFrame:
+    """``told(rows, lengths, places, values)`` of every block: for each text in turn its number of words and their places among the block's pairs,
+    ascending; ``values`` are the joined arrays of ``ranked``; the corpus is (row, text) and read twice, in the same splits."""
     parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    values = listed is not None
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, cut):
@@ -180,22 +178,21 @@ def looked_up(corpus: DataFrame, cut: Cut, v: int, alpha: float, told: Callable,
             yield pa.RecordBatch.from_arrays([pa.array([block.named()] * len(lists), pa.string()), pa.array([k for k, _ in lists], pa.int32()), pa.array([x for _, x in lists], pa.binary())], ["block", "part", "data"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, cut, values):
-            places = block.pairs(parts)[0]
-            kept = listed(block, places) if listed else packed(block.lengths().astype(np.uint32), *byte_planes(places))
+        for block in blocks(batches, cut):
+            kept = packed(*stepped(block.lengths(), block.pairs(parts)[0]))
             yield pa.RecordBatch.from_arrays([pa.array([block.named()]), pa.array([pickle.dumps((block.rows, kept))], pa.binary())], ["block", "data"])
 
     def count(group: pa.Table) -> pa.Table:
         blobs = [unpacked(x) for x in group["data"].to_pylist()]
-        return pa.table({"block": group["block"], "part": group["part"], "data": pa.array(ranked(blobs, v, alpha), pa.binary())})
+        return pa.table({"block": group["block"], "part": group["part"], "data": pa.array(ranked(blobs, v, alpha, ranks), pa.binary())})
 
     def finish(sent: pa.Table, held: pa.Table) -> pa.Table:
         if held.num_rows != 1:
             raise ValueError("the texts changed between two readings")
         rows, kept = pickle.loads(held["data"][0].as_py())
         data = dict(zip(sent["part"].to_pylist(), sent["data"].to_pylist(), strict=True))
-        lists = [unpacked(data[k]) for k in sorted(data)] or [[np.empty(0, np.int64)] * 7]
-        return told(rows, unpacked(kept), [np.concatenate(x) for x in zip(*lists, strict=True)])
+        lists = [unpacked(data[k]) for k in sorted(data)] or [[np.empty(0, np.int64)] * 6]
+        return told(rows, *unstepped(*unpacked(kept)), [np.concatenate(x) for x in zip(*lists, strict=True)])
 
     ship(corpus.sparkSession)
     kind = "block string, part int, data binary"
@@ -204,11 +201,20 @@ def looked_up(corpus: DataFrame, cut: Cut, v: int, alpha: float, told: Callable,
     return back.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(finish, schema)
 
 
-def byte_planes(places: np.ndarray) -> list[np.ndarray]:
-    """Numbers under 2^32 as four arrays of bytes, of which the last is mostly zero and so costs nothing once compressed."""
-    wide = places.astype(np.uint32).view(np.uint8).reshape(-1, 4)
-    return [np.ascontiguousarray(wide[:, i]) for i in range(4)]
+def stepped(lengths: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, steps): a text's places in ascending order, each as its step from the one before; as only sums over a text are made of them,
+    their order is not kept, and steps have fewer bits than places."""
+    text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    order = np.sort(text << 32 | places)
+    steps = np.diff(order, prepend=0)
+    first = (np.cumsum(lengths) - lengths)[lengths > 0]
+    steps[first] = order[first] & 0xFFFFFFFF
+    return lengths.astype(np.uint32), steps.astype(np.uint32)
 
 
-def from_planes(planes: list[np.ndarray]) -> np.ndarray:
-    return sum(p.astype(np.int64) << (8 * i) for i, p in enumerate(planes))
+def unstepped(lengths: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lengths = lengths.astype(np.int64)
+    sums = np.cumsum(steps, dtype=np.int64)
+    first = np.cumsum(lengths) - lengths
+    before = np.append(0, sums)[first]
+    return lengths, sums - np.repeat(before, lengths)

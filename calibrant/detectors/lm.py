@@ -78,24 +78,24 @@ def cut_words(value: str | None) -> list[bytes]:
     return _WORDS.findall(lower) if b"\x0b" in lower else lower.split()
 
 
-def text_stats(corpus: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
-    """``token_stats`` of ``corpus``, by blocks of texts: no row per word is shuffled."""
+def text_stats(corpus: DataFrame, text: str = "text", alpha: float = ALPHA, ranks: bool = True) -> DataFrame:
+    """``token_stats`` of ``corpus``, by blocks of texts: no row per word is shuffled. Without ``ranks`` there is no log_rank."""
     own = corpus.select("row_id", text)
     kind = own.schema["row_id"].dataType
     v = blocks.words(own, cut_words)
     arrow = to_arrow_type(kind)
 
-    def told(rows: list, kept: list[np.ndarray], values: list[np.ndarray]) -> pa.Table:
-        sizes, total, _, mu, var, n, rank = values
+    def told(rows: list, lengths: np.ndarray, places: np.ndarray, values: list[np.ndarray]) -> pa.Table:
+        sizes, total, mu, var, n, *rank = values
         of = np.repeat(np.arange(len(sizes)), sizes)
-        lengths, places = kept[0].astype(np.int64), blocks.from_planes(kept[1:])
         doc = np.repeat(np.arange(len(lengths)), lengths)
         full = np.flatnonzero(lengths)
-        each = {"logp": np.log((n + alpha) / (total + alpha * v)[of]), "mu": mu[of], "var": var[of], "log_rank": np.log(rank)}
+        each = {"logp": np.log((n + alpha) / (total + alpha * v)[of]), "mu": mu[of], "var": var[of]} | ({"log_rank": np.log(rank[0])} if ranks else {})
         sums = {k: np.bincount(doc, x[places], len(lengths))[full] for k, x in each.items()}
         return pa.table({"row_id": pa.array([rows[i] for i in full.tolist()], arrow), **sums, "n_tokens": lengths[full]})
 
-    return blocks.looked_up(own, cut_words, v, alpha, told, f"row_id {kind.simpleString()}, logp double, mu double, var double, log_rank double, n_tokens long")
+    schema = f"row_id {kind.simpleString()}, logp double, mu double, var double, {'log_rank double, ' if ranks else ''}n_tokens long"
+    return blocks.looked_up(own, cut_words, v, alpha, told, schema, ranks)
 
 
 def curvature(logp: Column, mu: Column, var: Column) -> Column:

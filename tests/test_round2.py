@@ -110,3 +110,24 @@ def test_perturbed_by_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(spaced, "RUNS", 3)
     assert spaced.log_ranks(docs, 7) is None
     assert {r.row_id: r.score for r in lm.perturbed_npr(docs, 7).collect()} == pytest.approx(scores, nan_ok=True)
+
+
+def test_places_as_steps(spark):
+    """What is held for a text is less than three bytes a word, and all sums but the ranks' need no ranks sent."""
+    import numpy as np
+
+    from calibrant.detectors import blocks, lm
+
+    rng = np.random.default_rng(3)
+    lengths = np.append(rng.integers(0, 900, 300), [0, 1, 0])
+    places = rng.integers(0, 90_000, lengths.sum())
+    kept = blocks.packed(*blocks.stepped(lengths, places))
+    sizes, found = blocks.unstepped(*blocks.unpacked(kept))
+    low = np.cumsum(lengths) - lengths
+    assert sizes.tolist() == lengths.tolist() and len(kept) < 1.6 * len(places)
+    assert found.tolist() == [x for a, n in zip(low, lengths, strict=True) for x in sorted(places[a : a + n].tolist())]
+    docs = spark.createDataFrame([(i, f"a w{i % 7} b w{i % 3} a b a") for i in range(40)], "row_id long, text string").repartition(3)
+    whole = {r.row_id: r.asDict() for r in lm.token_stats(lm.tokens(docs)).collect()}
+    for ranks in (True, False):
+        rows = [r.asDict() for r in lm.text_stats(docs, ranks=ranks).collect()]
+        assert len(rows) == 40 and all(("log_rank" in r) == ranks and r == pytest.approx({k: whole[r["row_id"]][k] for k in r}) for r in rows)
